@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, histogram_sort, packing, token_prefixes
+from . import decontamination, histogram_sort, packing, perspectives, token_prefixes, topk_search, toxic_spans, url_filters
 from .shared import workers_can_import
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the url query: decision, host, path prefix.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op2_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op3_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.digest(table(spark, sf_dir, "documents"), shards=24)
 
@@ -37,18 +45,35 @@ def op5_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, vocabulary_file("byte_bpe_50k.json"), vocabulary_file("byte_bpe_50k.tiktoken")))
 
 
+def op6_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_prefixes.token_prefixes(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
     return counts.selectExpr("id as doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 as over_limit")
 
 
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_spans.digest(toxic_spans.toxic_spans(docs, toxic_spans.train(docs, table(spark, sf_dir, "labels"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_redirect_url_filter,
         op3_histogram_sort_shards,
         op4_benchmark_decontamination,
         op5_bounded_space_packing,
+        op6_threshold_top_k,
         op7_prefix_token_counts,
+        op9_perspective_rotation,
+        op10_crf_toxicity,
     )
 }
 
@@ -67,4 +92,40 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    # the pages have neither redirects nor canonical links, so aliases are the urls of one canonical spelling
+    "op2_redirect_url_filter": rf"""
+WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '^[^?#]*(\?[^#]*)', 1), '') AS q FROM pages),
+q AS (SELECT *, regexp_replace(regexp_replace(q, '([?&])(?:utm_[a-z]*|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&+', '&', 'g') AS q1 FROM u),
+k AS (SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(?:www\.|m\.)', '') || regexp_replace(path, '/$', '')
+    || regexp_replace(regexp_replace(q1, '^\?&', '?'), '[?&]$', '') END AS key FROM q),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'allow www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'block example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'block net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'block net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'allow com/' END AS found FROM k),
+bad AS (SELECT DISTINCT key FROM r WHERE starts_with(found, 'block'))
+SELECT page_id, host, path, substr(found, 7) AS rule,
+  CASE WHEN found IS NOT NULL THEN substr(found, 1, 5) WHEN key IN (SELECT key FROM bad WHERE key IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN found IS NOT NULL THEN 'rule' WHEN key IN (SELECT key FROM bad WHERE key IS NOT NULL) THEN 'alias' ELSE 'default' END AS because
+FROM r""",
+    "op6_threshold_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_perspective_rotation": r"""
+WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE role END AS speaker,
+    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\||>', 'g') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+s AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+    FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM s),
+r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM r
+    WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
+SELECT conv_id, perspective, seq, turn, role, name, rendered, CAST(e - length(rendered) AS BIGINT) AS char_start, CAST(e AS BIGINT) AS char_end,
+  CASE WHEN role = 'assistant' THEN CAST(e - length(rendered) + length(head) AS BIGINT) END AS mask_start, CASE WHEN role = 'assistant' THEN CAST(e AS BIGINT) END AS mask_end, role <> 'assistant' AS masked
+FROM o""",
 }

@@ -13,6 +13,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Bytes of a row group: a writer holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 class Workspace:
     """Tables of one operator call below the shared folder. A table can be dropped once nothing reads it."""
 
@@ -51,7 +56,7 @@ class Workspace:
         """Writes df and reads it back: lineage ends here, and a lost executor costs no recomputation."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        writer = df.write.option("compression", codec)
+        writer = df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP)
         if max_records:
             writer = writer.option("maxRecordsPerFile", max_records)
         writer.parquet(path)
@@ -66,6 +71,18 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send at most so many rows to Python at once; for rows that hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- connected components
 
 
