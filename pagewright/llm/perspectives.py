@@ -30,7 +30,7 @@ def rotate_perspectives(
     own turns have the role assistant, those of others the role user and the speaker's name, context turns keep their
     role. Joined in order of seq, the rendered texts of a perspective are its dialogue; char_start and char_end are the
     place there. A loss covers [mask_start, mask_end), the text and end mark of assistant turns; masked says that a row
-    has no loss. Turns go by number (null first), then speaker, then text; repeated rows are repeated turns. A null or
+    has no loss, and its range is empty. Turns go by number (null first), then speaker, then text; repeated rows are repeated turns. A null or
     empty speaker is the participant "unknown", a null text is empty, and turns without conversation id form one
     conversation. A conversation of context turns alone has no perspective and gives no rows, as does an empty table.
     """
@@ -72,8 +72,8 @@ def rotate_perspectives(
         "rendered",
         start.alias("char_start"),
         end.alias("char_end"),
-        F.when(own, start + F.col("head")).alias("mask_start"),
-        F.when(own, end).alias("mask_end"),
+        F.when(own, start + F.col("head")).otherwise(end).alias("mask_start"),
+        end.alias("mask_end"),
         (~own).alias("masked"),
     )
 
@@ -86,5 +86,5 @@ def dialogues(rotated: DataFrame, longest: int = 10_000) -> DataFrame:
     size = rotated.groupBy("conv_id", "perspective").agg(F.count("*").alias("n")).where(F.col("n") <= longest).select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"))
     short = rotated.join(size, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")), "left_semi")
     parts = short.groupBy("conv_id", "perspective").agg(F.array_sort(F.collect_list(F.struct("seq", "rendered", "mask_start", "mask_end"))).alias("xs"))
-    loss = F.filter(F.transform("xs", lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end"))), lambda s: s["start"].isNotNull())
+    loss = F.filter(F.transform("xs", lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end"))), lambda s: s["start"] < s["end"])
     return parts.select("conv_id", "perspective", F.array_join(F.transform("xs", lambda x: x["rendered"]), "").alias("dialogue"), loss.alias("loss_spans"))

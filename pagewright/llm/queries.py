@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, histogram_sort, packing, perspectives, token_prefixes, topk_search, toxic_spans, url_filters
+from . import decontamination, histogram_sort, near_dedup, packing, perspectives, token_prefixes, topk_search, toxic_spans, url_filters
 from .shared import workers_can_import
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +54,10 @@ def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.selectExpr("id as doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 as over_limit")
 
 
+def op8_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5).withColumnRenamed("doc", "doc_id")
+
+
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_bounded_space_packing,
         op6_threshold_top_k,
         op7_prefix_token_counts,
+        op8_chosen_path_near_duplicates,
         op9_perspective_rotation,
         op10_crf_toxicity,
     )
@@ -117,7 +122,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_perspective_rotation": r"""
 WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE role END AS speaker,
-    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\||>', 'g') AS text FROM conversations),
+    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 s AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
     FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
@@ -126,6 +131,16 @@ r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h),
 o AS (SELECT *, row_number() OVER w - 1 AS seq, sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM r
     WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
 SELECT conv_id, perspective, seq, turn, role, name, rendered, CAST(e - length(rendered) AS BIGINT) AS char_start, CAST(e AS BIGINT) AS char_end,
-  CASE WHEN role = 'assistant' THEN CAST(e - length(rendered) + length(head) AS BIGINT) END AS mask_start, CASE WHEN role = 'assistant' THEN CAST(e AS BIGINT) END AS mask_end, role <> 'assistant' AS masked
+  CAST(CASE WHEN role = 'assistant' THEN e - length(rendered) + length(head) ELSE e END AS BIGINT) AS mask_start, CAST(e AS BIGINT) AS mask_end, role <> 'assistant' AS masked
 FROM o""",
+    "op8_chosen_path_near_duplicates": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM low LEFT JOIN n USING (doc_id)""",
 }
