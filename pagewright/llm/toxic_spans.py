@@ -18,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontamination import WORD_BYTES
@@ -27,8 +28,9 @@ from .shared import _BYTE, LOWER, _powers, mix, pieces
 BUCKETS_BITS = 20
 HEADS, TAILS = (3, 4, 5, 6), (4,)
 CHUNK = 128
-#: At most so many labelled documents of either kind are used for training, those with the smallest hashed ids.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
+#: At most so many labelled documents of either kind, and so many bytes of text, are used for training: those with the
+#: smallest hashed ids. The driver fits the field, so this bounds its memory.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1200, 2000, 12 << 20
 #: The field's weights are fitted to so many of either kind.
 FIELD_DOCUMENTS = 500
 SCHEMA = "id long, n_words long, score double, expected double, highest double, spans array<struct<start: long, end: long, byte_start: long, byte_end: long, marginal: double>>"
@@ -41,6 +43,8 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n == 0:
         return np.empty((0, kinds), np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
     b = LOWER[data]
+    # À to Þ as well: in UTF-8 the second byte behind C3
+    b[1:][(b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)] += 0x20
     w = WORD_BYTES[b]
     cut = off[(off > 0) & (off < n)]
     before = np.concatenate([[False], w[:-1]])
@@ -161,7 +165,7 @@ def _firsts(n: int, bounds: np.ndarray) -> np.ndarray:
     return first
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Field:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20) -> Field:
     """Fits the field to labelled documents. Without toxic or without clean documents every score is their share."""
     raw = [t.encode("utf-8") for t in texts]
     off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -195,10 +199,14 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Field:
     f, y = f[keep], y[keep]
     bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[chosen])])
     first = _firsts(len(f), bounds)
-    used, at = np.unique(f, return_inverse=True)
-    at = at.reshape(f.shape)
+    used = np.unique(f)
+    at = np.searchsorted(used, f).astype(np.int32)
+
+    def per_feature(values: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(at[:, kind], values, minlength=len(used)) for kind in range(at.shape[1]))
+
     weight, bias, transition = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean()))), np.zeros((2, 2))
-    count = np.bincount(at.ravel(), minlength=len(used))
+    count = per_feature(np.ones(len(at)))
     inner = ~first
     observed = np.zeros((2, 2))
     np.add.at(observed, (y[:-1][inner[1:]].astype(int), y[1:][inner[1:]].astype(int)), 1)
@@ -206,8 +214,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Field:
     for k in range(rounds):
         p, joint = marginals(weight[at].sum(1) + bias, first, transition)
         residual = y - p
-        gradient = np.bincount(at.ravel(), np.repeat(residual, f.shape[1]), minlength=len(used)) - 0.05 * weight
-        curve = np.bincount(at.ravel(), np.repeat(p * (1 - p), f.shape[1]), minlength=len(used))
+        gradient = per_feature(residual) - 0.05 * weight
+        curve = per_feature(p * (1 - p))
         scale = np.maximum(0.7 * scale, f.shape[1] * (curve + 0.02 * np.sqrt(count)) + 0.5)
         weight = np.clip(weight + gradient / scale, -12, 12)
         moment = max(0.7 * moment, (p * (1 - p)).sum() + 1)
@@ -256,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Fits a field on labelled documents that are not held out, at most n_toxic and n_clean of them.
 
     Labels join by id; null labels and ids are ignored. Of either kind the documents with the smallest hashed ids are
-    taken, so the sample does not depend on the order of rows.
+    taken, up to half of TRAIN_BYTES, so the sample does not depend on the order of rows.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("toxic"))
     known = known.where(~held_out("id")).dropDuplicates(["id"]).withColumn("h", F.xxhash64("id", F.lit(3)))
@@ -266,7 +274,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     table = spark.createDataFrame(chosen, "id long, toxic boolean")
     # the sample is bounded, so its ids can be sent to the scan
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(table), "id")
-    rows = sorted((r.id, r.text, r.toxic) for r in rows.toLocalIterator())
+    rows = rows.withColumn("h", F.xxhash64("id", F.lit(3))).withColumn("n", F.octet_length("text").cast("long"))
+    # one kind after the other, so that each has its half of the bytes
+    before = F.sum("n").over(Window.partitionBy("toxic").orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("n") <= TRAIN_BYTES // 2)
+    rows = sorted((r.id, r.text, r.toxic) for r in rows.select("id", "text", "toxic").toLocalIterator())
     return fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], bool))
 
 
@@ -308,6 +320,23 @@ def toxic_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, field: Field, limit: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores below limit, unchanged. A null or empty text is scored as one without words."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            keep = []
+            texts = pa.record_batch([pc.fill_null(batch.column(at), "")], ["text"])
+            for _, data, off in pieces(iter([texts]), "text"):
+                f, _, _, bounds = features(data, off)
+                keep.append(model.scores(model.words(f, _firsts(len(f), bounds)), bounds) < limit)
+            yield batch.filter(pa.array(np.concatenate([*keep, np.empty(0, bool)])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(scored: DataFrame, limit: float = 0.7) -> DataFrame:
     """The columns of the registered query."""
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
