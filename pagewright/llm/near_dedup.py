@@ -293,6 +293,7 @@ class NearDuplicates:
         return self.ws.table(y.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent), "a binary, b binary"))
 
     def run(self) -> DataFrame:
+        """Rows (doc, h, n_shingles, component_id, kept); h is the hash of the text."""
         with arrow_batches(self.spark, 2000):
             self.sketched()
             leaves = self.leaves()
@@ -313,9 +314,9 @@ class NearDuplicates:
         lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
         linked = joined.join(lows, "component").select("key", "component_id")
         of_class = self.classes.select("key", "low").join(linked, "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
-        some = self.rows.where("key is not null").select("doc", "n", "key").join(of_class, "key").select("doc", "n", "component_id")
-        none = self.rows.where("key is null").select("doc", "n", F.col("doc").alias("component_id"))
-        return some.unionByName(none).select("doc", F.col("n").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+        some = self.rows.where("key is not null").select("doc", "h", "n", "key").join(of_class, "key").select("doc", "h", "n", "component_id")
+        none = self.rows.where("key is null").select("doc", "h", "n", F.col("doc").alias("component_id"))
+        return some.unionByName(none).select("doc", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,4 +331,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     Hot groups: exact copies meet as one class in an aggregate with map-side combine; near copies meet in nodes that are
     compared in blocks; joins on a hot class or node are split by adaptive execution.
     """
-    return NearDuplicates(docs, percent, size, id_col, text_col).run()
+    return NearDuplicates(docs, percent, size, id_col, text_col).run().drop("h")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the smallest id stays, unchanged.
+
+    Of repeated rows (equal ids and texts) one stays, without regard to other columns. Documents without words stay.
+    """
+    found = NearDuplicates(docs, percent, size, id_col, text_col).run()
+    # verdicts that change something: few next to the documents, so the one join may turn out a broadcast
+    verdicts = found.groupBy("doc", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "kept", "n")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    judged = docs.join(verdicts, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_h")), "left").where("kept is null or kept")
+    once = judged.where("n is null").select(docs.columns)
+    return once.unionByName(judged.where("n > 1").dropDuplicates(["_d", "_h"]).select(docs.columns))

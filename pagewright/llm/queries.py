@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, histogram_sort, near_dedup, packing, perspectives, token_prefixes, topk_search, toxic_spans, url_filters
+from . import decontamination, histogram_sort, near_dedup, packing, passages, perspectives, token_prefixes, topk_search, toxic_spans, url_filters
 from .shared import workers_can_import
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"), words=50, identity=0.8)
+    return found.select(
+        F.col("doc").alias("doc_id"), "start", "end", F.col("other").alias("other_doc_id"), "other_start", "other_end", "matched", "identity"
+    )
+
+
 #: Rules of the url query: decision, host, path prefix.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -70,6 +78,7 @@ def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_collinear_passages,
         op2_redirect_url_filter,
         op3_histogram_sort_shards,
         op4_benchmark_decontamination,
