@@ -34,8 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of at least 50 words that an earlier document has; texts of which nothing is left go."""
-    return _counted(passages.cut_passages(docs, passages.repeated_passages(docs, words=50, identity=0.8)))
+    """Cuts passages of at least 50 words that an earlier document has; texts of which nothing is left go.
+
+    What repeats only inside one document stays.
+    """
+    found = passages.repeated_passages(docs, words=50, identity=0.8).where("doc <> other")
+    return _counted(passages.cut_passages(docs, found))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
