@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # how the model writes a blank
-CACHED_CHUNKS, CACHED_LENGTH = 400_000, 48
+CACHED_CHUNKS, CACHED_PREFIXES, CACHED_LENGTH = 500_000, 800_000, 48
 SCHEMA = "id long, n_chars long, n_bytes long, n_tokens long, deltas binary"
 
 
@@ -35,9 +35,12 @@ class PrefixCounter:
         usable = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in usable}
         self.tails = {piece[k:] for piece in self.score for k in range(len(piece))}
-        self.whole: dict[str, bool] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.joined = {a + b for piece in self.score for a, b in zip(piece, piece[1:])}
+        self.whole = {piece: len(piece) == 1 or None for piece in self.score}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
         self.known: dict[str, bytes] = {}
+        self.last: dict[str, str] = {}
         self.chunks = self._chunks().findall
 
     def _chunks(self) -> re.Pattern:
@@ -66,34 +69,55 @@ class PrefixCounter:
             parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
         return parts
 
-    def _is_piece(self, s: str) -> bool:
-        if (found := self.whole.get(s)) is None:
-            found = self.whole[s] = self._encode(s) == [s]
-        return found
-
     def _fit(self, a: str, b: str) -> bool:
-        if (found := self.fits.get((a, b))) is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            found = self.fits[a, b] = self._encode(a + b) == [a, b]
+        """Whether b, a piece that encodes to itself, can follow a; remembered for every pair."""
+        if (whole := self.whole[b]) is None:
+            whole = self.whole[b] = self._encode(b) == [b]
+        if self.n_fits > 2_000_000:
+            self.fits.clear()
+            self.n_fits = 0
+        self.n_fits += 1
+        found = self.fits.setdefault(b, {})[a] = whole and (not a or self._encode(a + b) == [a, b])
         return found
 
-    def _solve(self, chunk: str) -> bytes:
-        """The change of the count at every character, as signed bytes."""
-        n, score, tails = len(chunk), self.score, self.tails
-        last, count = [""] * (n + 1), [0] * (n + 1)
+    def _solve(self, part: str) -> bytes:
+        """The change of the count at every character of a part that no piece reaches into or out of, as signed bytes."""
+        score, tails, fits, known = self.score, self.tails, self.fits, self.last
+        n = len(part)
+        last, count, out = [""], [0], bytearray()
         for i in range(1, n + 1):
-            k = 1
-            while k < i and chunk[i - k - 1 : i] in tails:
-                k += 1
-            for k in range(k, 0, -1):
-                piece, before = chunk[i - k : i], last[i - k]
-                if k == 1 and piece not in score:
-                    last[i], count[i] = piece, count[i - 1] + len(piece.encode("utf-8"))
-                elif piece in score and (k == 1 or self._is_piece(piece)) and (not before or self._fit(before, piece)):
-                    last[i], count[i] = piece, count[i - k] + 1
-                    break
-        return np.diff(np.array(count, np.int64)).astype(np.int8).tobytes()
+            prefix = part[:i] if n <= CACHED_LENGTH else None
+            piece = known.get(prefix)
+            if piece is None:
+                k = 1
+                while k < i and part[i - k - 1 : i] in tails:
+                    k += 1
+                while k:
+                    piece = part[i - k : i]
+                    if piece in score:
+                        before = last[i - k]
+                        fit = (of := fits.get(piece)) and of.get(before)
+                        if fit is None:
+                            fit = self._fit(before, piece)
+                        if fit:
+                            break
+                    k -= 1
+                if prefix:
+                    known[prefix] = piece
+            last.append(piece)
+            c = count[i - len(piece)] + 1 if piece in score else count[i - 1] + len(piece.encode("utf-8"))
+            out.append((c - count[-1]) & 255)
+            count.append(c)
+        return bytes(out)
+
+    def _chunk(self, chunk: str) -> bytes:
+        joined = self.joined
+        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in joined]
+        if len(self.last) > CACHED_PREFIXES:
+            self.last.clear()
+        if not cuts:
+            return self._solve(chunk)
+        return b"".join([self._solve(chunk[a:z]) for a, z in zip([0, *cuts], [*cuts, len(chunk)])])
 
     def __call__(self, text: str) -> bytes:
         """Signed bytes, one for each character and one in front for the dummy prefix; sums are the counts."""
@@ -109,7 +133,7 @@ class PrefixCounter:
             known.clear()
         for c in chunks:
             if (d := known.get(c)) is None:
-                d = self._solve(c)
+                d = self._chunk(c)
                 if len(c) <= CACHED_LENGTH:
                     known[c] = d
             out.append(d)
