@@ -2,7 +2,7 @@
 
 Documents with the same shingle set are one class. Every class has a sketch of minwise tokens. Each of several
 independent trees sends a class down a path: at a node it branches by its minwise token at a coordinate that the path
-selects, so that similar sets stay together. Nodes small enough are compared exhaustively by sketch; a node that is
+selects, so that similar sets stay together. Nodes small enough are compared exhaustively by finer sketches; a node that is
 still large at the last level is compared in blocks, each with the node's leader. As only components are wanted, the
 first round confirms a spanning forest of the likely pairs of each node. The second takes every likely pair that still
 joins different components of the first, so no link is lost that the trees and sketches can see, and nothing is
@@ -24,7 +24,8 @@ TOKENS = 64
 TREES = 16
 FIRST_TOKENS, LEVELS = 3, 4  # tokens that choose a first node, and levels of nodes, each by one token more
 NODE, BLOCK = 64, 1024
-MARGIN = 0.2  # sketches of TOKENS tokens err by this much with a probability of a few millionths
+BINS = 512  # of the fine sketch by which members of a node are compared
+MARGIN = 0.075  # a fine sketch errs by this much, at similarities from 0.8, in a few of 100,000 pairs or fewer
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64)
@@ -47,6 +48,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
+def fine_sketch(s: np.ndarray) -> np.ndarray:
+    """One byte of the smallest element in each of BINS bins, 0 where a bin is empty: small sets are held as a whole."""
+    out = np.zeros(BINS, np.uint8)
+    x = mix(s ^ np.uint64(0xC0FFEE))
+    bins = (x >> np.uint64(55)).astype(np.int64)
+    order = np.lexsort((x, bins))
+    first = np.concatenate([[True], np.diff(bins[order]) != 0]) if len(s) else np.empty(0, bool)
+    at = order[first]
+    out[bins[at]] = (mix(s[at]) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
 def set_key(s: np.ndarray) -> bytes:
     """128 bits that equal sets share."""
     return np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) + np.uint64(len(s))], "<u8").tobytes()
@@ -74,13 +87,16 @@ def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches, "text"):
             h, _, _, first = word_hashes(data, off)
-            counts, keys, sigs = [], [], []
+            counts, keys, sigs, fines = [], [], [], []
             for k in range(part.num_rows):
                 s = shingle_set(h[first[k] : first[k + 1]], size)
                 counts.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 sigs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc", "h", "n", "key", "sig"])
+                fines.append(fine_sketch(s).tobytes() if len(s) else None)
+            yield pa.record_batch(
+                [part.column(0), part.column(1), pa.array(counts, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, sigs, fines)]], ["doc", "h", "n", "key", "sig", "fine"]
+            )
 
     return run
 
@@ -123,10 +139,14 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    for at in range(0, len(a), 64):
-        out[at : at + 64] = (a[at : at + 64, None] == b[None]).mean(2)
-    return out
+    """Estimated similarity of each of a to each of b, by fine sketches."""
+    x, y = (a > 0).astype(np.float32), (b > 0).astype(np.float32)
+    filled = x.sum(1)[:, None] + y.sum(1)[None] - x @ y.T
+    same = np.empty((len(a), len(b)), np.float32)
+    for at in range(0, len(a), 16):
+        same[at : at + 16] = (a[at : at + 16, None] == b[None]).sum(2)
+    same -= BINS - filled  # bins that are empty in both
+    return same / np.maximum(filled, 1)
 
 
 def spanning_pairs(like: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -152,7 +172,7 @@ def _forests(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups(batches, ("leaf", "block")):
             keys = t.column("key").to_pylist()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, TOKENS)
+            sig = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
             a, b = [], []
             for s, e in zip(edges[:-1], edges[1:]):
                 for i, j in spanning_pairs(_likeness(sig[s:e], sig[s:e]), least) if e - s > 1 else ():
@@ -169,7 +189,7 @@ def _crossing(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edges in groups(batches, ("leaf", "block")):
             keys, roots = t.column("key").to_pylist(), t.column("root").to_pylist()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, TOKENS)
+            sig = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
             probe = t.column("probe").to_numpy()
             number = {r: i for i, r in enumerate(set(roots))}
             root = np.array([number[r] for r in roots])
@@ -228,11 +248,11 @@ class NearDuplicates:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
     def sketched(self) -> None:
-        rows = self.docs.mapInArrow(_sketches(self.size), "doc long, h long, n long, key binary, sig binary")
+        rows = self.docs.mapInArrow(_sketches(self.size), "doc long, h long, n long, key binary, sig binary, fine binary")
         self.rows = self.ws.table(rows)
         some = self.rows.where("key is not null")
         # of each class one row stands for all: the one with the smallest (id, hash of the text)
-        self.classes = self.ws.table(some.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("one"), F.min("doc").alias("low"), F.first("sig").alias("sig"), F.count("*").alias("rows")))
+        self.classes = self.ws.table(some.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("one"), F.min("doc").alias("low"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.count("*").alias("rows")))
 
     def leaves(self) -> DataFrame:
         """Rows (leaf, size, key): a class in a node of each tree, without nodes of one class."""
@@ -251,7 +271,7 @@ class NearDuplicates:
         return self.ws.table(done)
 
     def _in_blocks(self, rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.join(self.classes.select("key", "sig"), "key").select("leaf", "block", "key", "sig", *columns)
+        return rows.join(self.classes.select("key", "fine"), "key").select("leaf", "block", "key", "fine", *columns)
 
     def forest(self, leaves: DataFrame) -> DataFrame:
         blocks = F.ceil(F.col("size") / NODE).cast("int")
