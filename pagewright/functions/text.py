@@ -89,7 +89,8 @@ def override_map(text: Column) -> Column:
     """ "a=b,c=d" as a map; an entry without exactly one = is an error."""
     entries = F.split(text, ",")
     bad = F.exists(entries, lambda e: F.size(F.split(e, "=")) != 2)
-    return F.when(bad, F.raise_error(F.lit("an override is name=name")).cast("map<string,string>")).when(text == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(text, F.lit(","), F.lit("=")))
+    empty, wrong = F.create_map().cast("map<string,string>"), F.raise_error(F.lit("an override is name=name")).cast("map<string,string>")
+    return F.when(text == "", empty).when(bad, wrong).otherwise(F.str_to_map(text, F.lit(","), F.lit("=")))
 
 
 def with_brightness(colour: Column, goal: float = 0.5) -> Column:

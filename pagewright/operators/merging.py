@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators.ordering import reading_order
+from pagewright.sources.tables import materialised
 
 
 def merge_order(rows: DataFrame, page: list[str], from_b: str = "from_b", a_position: str = "a_position", sorted_position: str = "sorted_position", out: str = "position") -> DataFrame:
@@ -24,7 +25,7 @@ def merge_boxes(a: DataFrame, b: DataFrame, page: list[str], width: Column, heig
     """a with b put in, in reading order but with the order of a kept; seq is renumbered. Other columns move along."""
     both = a.withColumn("from_b", F.lit(False)).unionByName(b.withColumn("from_b", F.lit(True)), allowMissingColumns=True)
     numbered = Window.partitionBy(*page).orderBy("from_b", seq)
-    both = both.withColumn("_n", F.row_number().over(numbered))
+    both = materialised(both.withColumn("_n", F.row_number().over(numbered)))
     order = reading_order(both, page, width, height, key="_n").select(*page, "_n", F.col("position").alias("_sorted"))
     both = both.join(order, [*page, "_n"]).withColumn("_a", F.when(~F.col("from_b"), F.col("_n")))
     return merge_order(both, page, "from_b", "_a", "_sorted", seq).drop("_n", "_a", "_sorted")

@@ -13,6 +13,7 @@ from pagewright.operators.merging import merge_boxes
 from pagewright.operators.overlap import without_overlap
 from pagewright.operators.samples import aggregate_samples
 from pagewright.sources.engines import COMBINED_SIZE, SOURCES
+from pagewright.sources.tables import materialised
 
 #: Fixed value: confidence of merged readings.
 MERGED_CONFIDENCE = 0.9
@@ -84,9 +85,10 @@ def two_sources(
         others = [turned(x, rotation, page) if x is not None else None for x in others]
     second, marks, codes = others
     second = _renumbered(split_date_ranges(second))
-    kept = without_date_runs(without_columns_of_digits(first, page, width / height), page)
+    kept = materialised(without_date_runs(materialised(without_columns_of_digits(first, page, width / height)), page))
     words = merge_boxes(kept, without_overlap(second.withColumn("box_id", F.col("seq")), kept.withColumn("box_id", F.col("seq")), page, 0.01).drop("box_id"), page, width, height).drop("from_b")
     if marks is not None:
+        words, marks = materialised(words), materialised(marks)
         free = without_overlap(words.withColumn("box_id", F.col("seq")), marks.withColumn("box_id", F.col("seq")), page, 0.5).drop("box_id")
         words = merge_boxes(free, marks, page, width, height).drop("from_b")
     if codes is not None:

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagewright.sources import responses
 
@@ -112,7 +114,6 @@ def recognise(pages: DataFrame, source: str, client: Callable[[], Callable[[byte
     after errors, for each page. Its result is the response as JSON text or as plain lists and dicts."""
     spec = SOURCES[source]
     at = pages.columns.index(content)
-    from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = client()
@@ -123,5 +124,5 @@ def recognise(pages: DataFrame, source: str, client: Callable[[], Callable[[byte
                 found.append(r if isinstance(r, str) else json.dumps(r))
             yield pa.record_batch([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "_response"])
 
-    schema = pages.schema.add("_response", "string")
+    schema = StructType([*pages.schema.fields, StructField("_response", StringType())])
     return pages.mapInArrow(run, schema).withColumn("response", F.from_json("_response", spec.schema)).drop("_response")
