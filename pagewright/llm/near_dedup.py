@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, arrow_batches, connected_components, mix, pieces, shingles, word_hashes
+from .shared import Workspace, arrow_batches, connected_components, mix, pieces, sent_if_small, shingles, word_hashes
 
 TOKENS = 64
 TREES = 16
@@ -360,9 +360,10 @@ def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "d
     Of repeated rows (equal ids and texts) one stays, without regard to other columns. Documents without words stay.
     """
     found = NearDuplicates(docs, percent, size, id_col, text_col).run()
-    # verdicts that change something: few next to the documents, so the one join may turn out a broadcast
+    # verdicts that change something
     verdicts = found.groupBy("doc", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "kept", "n")
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    judged = docs.join(verdicts, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_h")), "left").where("kept is null or kept")
+    verdicts = Workspace(docs.sparkSession, "verdicts").table(verdicts)
+    judged = docs.join(sent_if_small(verdicts), F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_h")), "left").where("kept is null or kept")
     once = judged.where("n is null").select(docs.columns)
     return once.unionByName(judged.where("n > 1").dropDuplicates(["_d", "_h"]).select(docs.columns))

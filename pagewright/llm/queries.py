@@ -22,6 +22,8 @@ def vocabulary_file(name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_can_import(spark)
+    # rows hold whole texts, so few of them go to Python at once
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -71,6 +71,15 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A table of at most so many narrow rows (some 50 bytes each) is sent to every executor; a larger one is exchanged.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """A hint for the join of a written table, by its counted rows."""
+    return F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table.hint("merge")
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside send at most so many rows to Python at once; for rows that hold whole texts."""
@@ -157,7 +166,7 @@ WHITE[list(BLANKS)] = False
 LOWER = lower_table(WHITE)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, at_most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, at_most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into slices of about at_most text bytes: (slice, its bytes, offsets of its rows). Texts stay whole."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))

@@ -13,6 +13,7 @@ before it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +30,10 @@ BUCKETS_BITS = 20
 HEADS, TAILS = (3, 4, 5, 6), (4,)
 CHUNK = 128
 #: At most so many labelled documents of either kind, and so many bytes of text, are used for training: those with the
-#: smallest hashed ids. The driver fits the field, so this bounds its memory.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1200, 2000, 12 << 20
+#: smallest hashed ids. One task fits the field, so this bounds its memory.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1200, 2000, 10 << 20
 #: The field's weights are fitted to so many of either kind.
-FIELD_DOCUMENTS = 500
+FIELD_DOCUMENTS = 400
 SCHEMA = "id long, n_words long, score double, expected double, highest double, spans array<struct<start: long, end: long, byte_start: long, byte_end: long, marginal: double>>"
 
 
@@ -68,8 +69,8 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, starts, ends, np.searchsorted(starts, off).astype(np.int64)
 
 
-def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) of every word, and summed P(label of a word, label of the next) as a 2 x 2 table.
+def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """P(toxic) of every word, and with pairs summed P(label of a word, label of the next) as a 2 x 2 table.
 
     emission: log weight of toxic against clean. first marks first words of documents. transition: 2 x 2 log weights.
     """
@@ -116,6 +117,8 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -
     alpha, beta = alpha.reshape(-1, 2)[:n], beta.reshape(-1, 2)[:n]
     p = alpha * beta
     p /= p.sum(1, keepdims=True)
+    if not pairs:
+        return p[:, 1], None
     inner = np.flatnonzero(~first[1:]) + 1
     joint = alpha[inner - 1][:, :, None] * (m.reshape(-1, 2, 2)[inner] * beta[inner][:, None, :])
     joint /= joint.sum((1, 2), keepdims=True)
@@ -150,9 +153,19 @@ class Field:
     transition: np.ndarray
     document: np.ndarray
 
+    def packed(self) -> tuple:
+        used = np.flatnonzero(self.weights)
+        return used.astype(np.int32), self.weights[used], self.bias, self.transition, self.document
+
+    @classmethod
+    def unpacked(cls, parts: tuple) -> Field:
+        weights = np.zeros(1 << BUCKETS_BITS, np.float32)
+        weights[parts[0]] = parts[1]
+        return cls(weights, *parts[2:])
+
     def words(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
         emission = self.weights[f].sum(1) + self.bias
-        return marginals(emission, first, self.transition)[0]
+        return marginals(emission, first, self.transition, False)[0]
 
     def scores(self, p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         a = aggregates(p, bounds)
@@ -200,7 +213,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20) -> Field:
     bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[chosen])])
     first = _firsts(len(f), bounds)
     used = np.unique(f)
-    at = np.searchsorted(used, f).astype(np.int32)
+    at = np.stack([np.searchsorted(used, f[:, kind]).astype(np.int32) for kind in range(f.shape[1])], axis=1)
 
     def per_feature(values: np.ndarray) -> np.ndarray:
         return sum(np.bincount(at[:, kind], values, minlength=len(used)) for kind in range(at.shape[1]))
@@ -212,7 +225,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20) -> Field:
     np.add.at(observed, (y[:-1][inner[1:]].astype(int), y[1:][inner[1:]].astype(int)), 1)
     scale, moment = np.zeros(len(used)), 0.0
     for k in range(rounds):
-        p, joint = marginals(weight[at].sum(1) + bias, first, transition)
+        p, joint = marginals(sum(weight[at[:, kind]] for kind in range(at.shape[1])) + bias, first, transition)
         residual = y - p
         gradient = per_feature(residual) - 0.05 * weight
         curve = per_feature(p * (1 - p))
@@ -226,7 +239,13 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20) -> Field:
     full = np.zeros(size, np.float32)
     full[used] = weight
     field = Field(full, bias, transition, prior)
-    x = np.column_stack([aggregates(field.words(whole, _firsts(len(whole), whole_bounds)), whole_bounds), np.ones(len(texts))])
+    del f, at, first
+    parts = []
+    for k in range(0, len(texts), 200):  # documents are independent; a part at a time keeps the task small
+        b = whole_bounds[k : k + 201]
+        part = whole[b[0] : b[-1]]
+        parts.append(aggregates(field.words(part, _firsts(len(part), b - b[0])), b - b[0]))
+    x = np.column_stack([np.concatenate(parts), np.ones(len(texts))])
     field.document = _logistic(x, whole_toxic.astype(float))
     return field
 
@@ -278,8 +297,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     # one kind after the other, so that each has its half of the bytes
     before = F.sum("n").over(Window.partitionBy("toxic").orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("n") <= TRAIN_BYTES // 2)
-    rows = sorted((r.id, r.text, r.toxic) for r in rows.select("id", "text", "toxic").toLocalIterator())
-    return fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], bool))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted({(r["id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()})
+        field = fit([t for _, t, _ in found], np.array([y for _, _, y in found], bool))
+        yield pa.record_batch([pa.array([pickle.dumps(field.packed())], pa.binary())], ["field"])
+
+    # the sample is bounded, so one task fits the field and the driver only passes it on
+    made = rows.select("id", "text", "toxic").repartition(1).mapInArrow(fitted, "field binary").first()
+    return Field.unpacked(pickle.loads(made[0])) if made else fit([], np.empty(0, bool))
 
 
 def toxic_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
