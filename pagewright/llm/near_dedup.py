@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, arrow_batches, connected_components, mix, pieces, sent_if_small, shingles, word_hashes
+from .shared import Workspace, arrow_batches, connected_components, mix, pieces, release_memory, sent_if_small, shingles, word_hashes
 
 TOKENS = 64
 TREES = 16
@@ -97,6 +97,7 @@ def _sketches(size: int):
             yield pa.record_batch(
                 [part.column(0), part.column(1), pa.array(counts, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, sigs, fines)]], ["doc", "h", "n", "key", "sig", "fine"]
             )
+        release_memory()
 
     return run
 

@@ -9,11 +9,12 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,12 @@ def sent_if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table.hint("merge")
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on between stages."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside send at most so many rows to Python at once; for rows that hold whole texts."""

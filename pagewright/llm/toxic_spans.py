@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontamination import WORD_BYTES
-from .shared import _BYTE, LOWER, _powers, mix, pieces
+from .shared import _BYTE, LOWER, _powers, mix, pieces, release_memory
 
 BUCKETS_BITS = 20
 HEADS, TAILS = (3, 4, 5, 6), (4,)
@@ -301,7 +301,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({(r["id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()})
         field = fit([t for _, t, _ in found], np.array([y for _, _, y in found], bool))
-        yield pa.record_batch([pa.array([pickle.dumps(field.packed())], pa.binary())], ["field"])
+        out = pickle.dumps(field.packed())
+        del found, field
+        release_memory()
+        yield pa.record_batch([pa.array([out], pa.binary())], ["field"])
 
     # the sample is bounded, so one task fits the field and the driver only passes it on
     made = rows.select("id", "text", "toxic").repartition(1).mapInArrow(fitted, "field binary").first()
@@ -359,6 +362,7 @@ def without_toxic(docs: DataFrame, field: Field, limit: float = 0.7, text_col: s
                 f, _, _, bounds = features(data, off)
                 keep.append(model.scores(model.words(f, _firsts(len(f), bounds)), bounds) < limit)
             yield batch.filter(pa.array(np.concatenate([*keep, np.empty(0, bool)])))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
