@@ -43,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-#: Bytes of a row group: a writer holds one in memory.
+#: Bytes of a row group: a writer holds one in memory, and tasks that write token ids or word sequences ran out of it with
+#: the default of 128 MB.
 ROW_GROUP = 16 << 20
 
 
