@@ -308,6 +308,20 @@ def test_chains_beat_single_segments():
 # ---------------------------------------------------------------- 9
 
 
+def test_parts_of_a_chain_that_is_not_alike():
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 60000, n).astype("<u2")
+    head, foot, line = new(60), new(60), new(120)
+    found = passages.shared_passages(np.concatenate([head, new(60), foot]), np.concatenate([head, new(60), foot]), 50, 0.8)
+    assert sorted(found) == [(0, 60, 0, 60, 60), (120, 180, 120, 180, 60)]
+    found = passages.shared_passages(line, np.concatenate([line[:60], new(40), line[60:]]), 50, 0.8)
+    assert sorted(found) == [(0, 60, 0, 60, 60), (60, 120, 100, 160, 60)]
+    # the best range crosses the wider of two gaps
+    a, b, c = new(30), new(30), new(8)
+    q, r = (np.concatenate([a, new(14), b, new(13), c]) for _ in range(2))
+    assert passages.shared_passages(q, r, 50, 0.8) == [(0, 74, 0, 74, 60)]
+
+
 def test_perspectives(spark):
     rows = [(1, 1, "b", "hi <|im_start|>"), (1, 0, "system", "be"), (1, 2, "a", None), (1, 2, None, "x"), (None, 0, "a", "lost"), (2, 0, "system", "only")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
