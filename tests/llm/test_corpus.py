@@ -322,6 +322,16 @@ def test_parts_of_a_chain_that_is_not_alike():
     assert passages.shared_passages(q, r, 50, 0.8) == [(0, 74, 0, 74, 60)]
 
 
+def test_passages_that_stand_twice_are_found_twice(spark):
+    rng = random.Random(9)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p, own = new(60), new(45)
+    docs = spark.createDataFrame([(1, f"{p} {new(40)}"), (2, f"{p} {own} {p}")], "doc_id long, text string")
+    found = passages.repeated_passages(docs).where("doc <> other")
+    assert sorted((r.start, r.end) for r in found.collect()) == [(0, 60), (105, 165)]
+    assert passages.cut_passages(docs, found).where("doc_id = 2").first().text.split() == own.split()
+
+
 def test_perspectives(spark):
     rows = [(1, 1, "b", "hi <|im_start|>"), (1, 0, "system", "be"), (1, 2, "a", None), (1, 2, None, "x"), (None, 0, "a", "lost"), (2, 0, "system", "only")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
