@@ -332,6 +332,16 @@ def test_passages_that_stand_twice_are_found_twice(spark):
     assert passages.cut_passages(docs, found).where("doc_id = 2").first().text.split() == own.split()
 
 
+def test_long_gaps_are_aligned_as_short_ones():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 1100).astype("<u2"), rng.integers(0, 300, 1100).astype("<u2")
+    row = np.zeros(len(b) + 1, np.int64)
+    for w in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == w)))
+    assert passages._common(a, b) == row[-1]
+    assert passages._common(np.arange(2000), np.arange(2000)[::-1]) == 1
+
+
 def test_perspectives(spark):
     rows = [(1, 1, "b", "hi <|im_start|>"), (1, 0, "system", "be"), (1, 2, "a", None), (1, 2, None, "x"), (None, 0, "a", "lost"), (2, 0, "system", "only")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
