@@ -32,6 +32,8 @@ CHUNK = 128
 #: At most so many labelled documents of either kind, and so many bytes of text, are used for training: those with the
 #: smallest hashed ids. One task fits the field, so this bounds its memory.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1200, 2000, 10 << 20
+#: Longer texts are taken after all others, so that none of them shuts out those behind it.
+LONG_BYTES = TRAIN_BYTES // 100
 #: The field's weights are fitted to so many of either kind.
 FIELD_DOCUMENTS = 400
 SCHEMA = "id long, n_words long, score double, expected double, highest double, spans array<struct<start: long, end: long, byte_start: long, byte_end: long, marginal: double>>"
@@ -283,7 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Fits a field on labelled documents that are not held out, at most n_toxic and n_clean of them.
 
     Labels join by id; null labels and ids are ignored. Of either kind the documents with the smallest hashed ids are
-    taken, up to half of TRAIN_BYTES, so the sample does not depend on the order of rows.
+    taken, up to half of TRAIN_BYTES, so the sample does not depend on the order of rows. Texts above LONG_BYTES come
+    last, the shorter ones first, so that they take only bytes that the others leave.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("toxic"))
     known = known.where(~held_out("id")).dropDuplicates(["id"]).withColumn("h", F.xxhash64("id", F.lit(3)))
@@ -295,7 +298,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(table), "id")
     rows = rows.withColumn("h", F.xxhash64("id", F.lit(3))).withColumn("n", F.octet_length("text").cast("long"))
     # one kind after the other, so that each has its half of the bytes
-    before = F.sum("n").over(Window.partitionBy("toxic").orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    long = F.when(F.col("n") > LONG_BYTES, F.col("n")).otherwise(0)
+    before = F.sum("n").over(Window.partitionBy("toxic").orderBy(long, "h", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("n") <= TRAIN_BYTES // 2)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -404,6 +404,26 @@ def test_toxic_documents_are_told(spark):
     assert toxic_spans.toxic_spans(documents(spark), nothing).count() == len(ODD)
 
 
+def labelled(spark, word_of):
+    """Documents 0 to 399, every second toxic by a word of its own kind."""
+    rng, rows = random.Random(5), []
+    for k, t in enumerate(texts(22, 400)):
+        w = t.split()
+        for _ in range(4 if k % 2 == 0 else 0):
+            w.insert(rng.randrange(len(w)), word_of(k))
+        rows.append((k, " ".join(w), "en", "x", "k"))
+    return rows, spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(400)], "doc_id long, toxic int")
+
+
+def test_one_long_text_does_not_shut_out_the_rest(spark):
+    rows, marks = labelled(spark, lambda k: "vileness")
+    first = marks.where("toxic = 1").where(~toxic_spans.held_out()).orderBy(F.xxhash64("doc_id", F.lit(3))).first().doc_id
+    rows[first] = (first, "pad " * (toxic_spans.TRAIN_BYTES // 8 + 1), "en", "x", "k")
+    docs = documents(spark, rows)
+    out = {r.id: r.score for r in toxic_spans.toxic_spans(docs.where(F.col("doc_id") != first), toxic_spans.train(docs, marks)).collect()}
+    assert sum((s >= 0.7) == (k % 2 == 0) for k, s in out.items()) >= 0.97 * len(out)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
