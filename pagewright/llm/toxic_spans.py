@@ -180,8 +180,11 @@ def _firsts(n: int, bounds: np.ndarray) -> np.ndarray:
     return first
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20) -> Field:
-    """Fits the field to labelled documents. Without toxic or without clean documents every score is their share."""
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20, n_field: int = FIELD_DOCUMENTS) -> Field:
+    """Fits the field to labelled documents. Without toxic or without clean documents every score is their share.
+
+    The weights are fitted to the first n_field of either kind, the scores of documents to all.
+    """
     raw = [t.encode("utf-8") for t in texts]
     off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     f, _, _, bounds = features(np.frombuffer(b"".join(raw), np.uint8), off)
@@ -209,7 +212,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20) -> Field:
         return nothing
     # the field itself is fitted to some of the documents; their scores to all
     whole, whole_bounds, whole_toxic = f, bounds, toxic
-    chosen = np.sort(np.concatenate([np.flatnonzero(toxic)[:FIELD_DOCUMENTS], np.flatnonzero(~toxic)[:FIELD_DOCUMENTS]]))
+    chosen = np.sort(np.concatenate([np.flatnonzero(toxic)[:n_field], np.flatnonzero(~toxic)[:n_field]]))
     keep = np.isin(doc, chosen)
     f, y = f[keep], y[keep]
     bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[chosen])])
@@ -281,12 +284,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN) -> Field:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN, n_field: int = FIELD_DOCUMENTS) -> Field:
     """Fits a field on labelled documents that are not held out, at most n_toxic and n_clean of them.
 
     Labels join by id; null labels and ids are ignored. Of either kind the documents with the smallest hashed ids are
     taken, up to half of TRAIN_BYTES, so the sample does not depend on the order of rows. Texts above LONG_BYTES come
-    last, the shorter ones first, so that they take only bytes that the others leave.
+    last, the shorter ones first, so that they take only bytes that the others leave. Weights are fitted to the first
+    n_field of either kind in the order of hashed ids, the scores of documents to the whole sample.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("toxic"))
     known = known.where(~held_out("id")).dropDuplicates(["id"]).withColumn("h", F.xxhash64("id", F.lit(3)))
@@ -303,15 +307,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("n") <= TRAIN_BYTES // 2)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted({(r["id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()})
-        field = fit([t for _, t, _ in found], np.array([y for _, _, y in found], bool))
+        found = sorted({(r["h"], r["id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()})
+        field = fit([t for _, _, t, _ in found], np.array([y for *_, y in found], bool), n_field=n_field)
         out = pickle.dumps(field.packed())
         del found, field
         release_memory()
         yield pa.record_batch([pa.array([out], pa.binary())], ["field"])
 
     # the sample is bounded, so one task fits the field and the driver only passes it on
-    made = rows.select("id", "text", "toxic").repartition(1).mapInArrow(fitted, "field binary").first()
+    made = rows.select("h", "id", "text", "toxic").repartition(1).mapInArrow(fitted, "field binary").first()
     return Field.unpacked(pickle.loads(made[0])) if made else fit([], np.empty(0, bool))
 
 

@@ -424,6 +424,13 @@ def test_one_long_text_does_not_shut_out_the_rest(spark):
     assert sum((s >= 0.7) == (k % 2 == 0) for k, s in out.items()) >= 0.97 * len(out)
 
 
+def test_field_is_fitted_across_all_ids(spark):
+    rows, marks = labelled(spark, lambda k: "vileness" if k < 200 else "nastyone")
+    docs = documents(spark, rows)
+    out = toxic_spans.toxic_spans(docs, toxic_spans.train(docs, marks, n_field=40)).where("id % 2 = 0").collect()
+    assert sum(r.highest >= 0.5 for r in out) >= 0.97 * len(out)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
