@@ -60,12 +60,13 @@ def _fitting(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
         )
         return urls.withColumn("found", found).withColumns({"rule": F.col("found.rule"), "ruled": F.col("found.ruled")}).drop("found")
     spark = urls.sparkSession
-    table = spark.createDataFrame(rules, "ruled string, h string, p string").groupBy("h").agg(F.collect_list(F.struct(F.length(F.concat("h", "p")).alias("n"), F.concat("h", "p").alias("rule"), "ruled", "p")).alias("rs"))
+    table = spark.createDataFrame(rules, "ruled string, h string, p string").groupBy("h").agg(F.collect_list(F.struct((-F.length(F.concat("h", "p"))).alias("n"), "ruled", F.col("h").alias("of"), "p", F.concat("h", "p").alias("rule"))).alias("rs"))
     hosts = urls.select("host").distinct()
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     of_host = hosts.select("host", F.explode(suffix).alias("h")).join(table, "h").groupBy("host").agg(F.flatten(F.collect_list("rs")).alias("rs"))
-    best = F.array_max(F.filter("rs", lambda r: F.col("path").startswith(r["p"])))
+    # the longest first; ties as in the sorted rules: allow before block, then host and path
+    best = F.array_min(F.filter("rs", lambda r: F.col("path").startswith(r["p"])))
     return urls.join(of_host, "host", "left").withColumn("found", best).withColumns({"rule": F.col("found.rule"), "ruled": F.col("found.ruled")}).drop("found", "rs")
 
 

@@ -196,6 +196,15 @@ def test_urls(spark):
     assert url_filters.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_equal_rules_have_the_same_verdict_in_both_forms(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x/1"), (2, "http://b.org/x/1")], "page_id long, url string")
+    rules = [("block", "a.org", "/x/"), ("allow", "a.org", "/x/"), ("allow", "org", "/x/"), ("block", "b.org", "/x/")]
+    many = rules + [("block", f"h{k}.org", "/") for k in range(url_filters.INLINE_RULES)]
+    for given in (rules, many):
+        got = {r.id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, given, html_col=None).collect()}
+        assert got == {1: ("a.org/x/", "allow"), 2: ("b.org/x/", "block")}
+
+
 # ---------------------------------------------------------------- 6
 
 
