@@ -341,6 +341,20 @@ def test_passages_that_stand_twice_are_found_twice(spark):
     assert passages.cut_passages(docs, found).where("doc_id = 2").first().text.split() == own.split()
 
 
+@pytest.mark.parametrize("every", [7, 10])
+def test_passages_with_even_edits_are_found(spark, every):
+    rng = random.Random(every)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 200, 2):
+        p = new(70)
+        q = [new(1)[0] if at % every == every - 1 else w for at, w in enumerate(p)]
+        rows += [(k, " ".join(new(40) + p + new(40))), (k + 1, " ".join(new(50) + q + new(30)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc <> other")
+    got = {r.doc for r in found.collect() if r.other == r.doc - 1 and r.start <= 56 and r.end >= 114}
+    assert len(got) >= 98
+
+
 def test_long_gaps_are_aligned_as_short_ones():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 300, 1100).astype("<u2"), rng.integers(0, 300, 1100).astype("<u2")
