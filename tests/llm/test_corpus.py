@@ -341,6 +341,19 @@ def test_passages_that_stand_twice_are_found_twice(spark):
     assert passages.cut_passages(docs, found).where("doc_id = 2").first().text.split() == own.split()
 
 
+def test_frequent_lines_do_not_hide_passages(spark):
+    rng = random.Random(10)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(0, 80, 4):
+        one, two = new(30), new(30)
+        rows += [(k, f"{new(40)} {one} {new(40)}"), (k + 1, f"{new(40)} {two} {new(40)}")]
+        rows += [(k + 2, f"{new(40)} {one} {two} {new(40)}"), (k + 3, f"{new(50)} {one} {two} {new(40)}")]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc <> other")
+    got = {(r.doc, r.other, r.start, r.end) for r in found.collect()}
+    assert {(k + 3, k + 2, 50, 110) for k in range(0, 80, 4)} <= got
+
+
 @pytest.mark.parametrize("every", [7, 10])
 def test_passages_with_even_edits_are_found(spark, every):
     rng = random.Random(every)
