@@ -153,7 +153,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
         m = max(n, 1 << 16)
         for k, p in enumerate((_P, _PI)):
@@ -210,7 +210,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = WHITE)
     after[:-1] = w[1:]
     after[cut - 1] = False
     ends = np.flatnonzero(w & ~after) + 1
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[b] * power, out=sums[1:])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontamination import WORD_BYTES
-from .shared import _BYTE, LOWER, _powers, mix, pieces, release_memory
+from .shared import _BYTE, LOWER, powers, mix, pieces, release_memory
 
 BUCKETS_BITS = 20
 HEADS, TAILS = (3, 4, 5, 6), (4,)
@@ -55,7 +55,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after = np.concatenate([w[1:], [False]])
     after[cut - 1] = False
     starts, ends = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-    power, inverse = _powers(n)
+    power, inverse = powers(n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * power)])
     out = np.empty((len(starts), kinds), np.int32)
 
