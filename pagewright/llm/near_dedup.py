@@ -2,11 +2,13 @@
 
 Documents with the same shingle set are one class. Every class has a sketch of minwise tokens. Each of several
 independent trees sends a class down a path: at a node it branches by its minwise token at a coordinate that the path
-selects, so that similar sets stay together. Nodes small enough are compared exhaustively by finer sketches; a node that is
-still large at the last level is compared in blocks, each with the node's leader. As only components are wanted, the
-first round confirms a spanning forest of the likely pairs of each node. The second takes every likely pair that still
-joins different components of the first, so no link is lost that the trees and sketches can see, and nothing is
-compared again inside what is joined already.
+selects, so that similar sets stay together. Nodes small enough are compared exhaustively by finer sketches; a node that
+is still large is compared in blocks, each with the node's leader, and then what is outside its largest component with
+all of it. Nodes in which much is outside branch on, twice each, so that similar sets still meet.
+
+As only components are wanted, a node gives no more than a spanning forest of its likely pairs. What likely pairs join is
+a cluster: no link leaves it. The full sets of a cluster meet in one place, in blocks where it is large, and are compared
+exactly there; again only links that join components come out. No step gives more rows than it has classes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from .shared import Workspace, arrow_batches, connected_components, mix, pieces,
 TOKENS = 64
 TREES = 16
 FIRST_TOKENS, LEVELS = 3, 4  # tokens that choose a first node, and levels of nodes, each by one token more
-NODE, BLOCK = 64, 1024
+NODE, BLOCK = 64, 1024  # classes of a node that are compared at once, and of a large one against what is outside its largest component
+BRANCHES, DEEPER = 2, 6  # ways by which a large node with much outside its largest component branches on, and how often
+SETS = 1 << 18  # elements of all sets that are compared at once; a block has at most BLOCK sets as well
 BINS = 512  # of the fine sketch by which members of a node are compared
 MARGIN = 0.075  # a fine sketch errs by this much, at similarities from 0.8, in a few of 100,000 pairs or fewer
 _rng = np.random.default_rng(8)
@@ -112,6 +116,17 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([keys, *[pa.array(p[:, k]) for k in range(LEVELS)]], ["key", *[f"p{k}" for k in range(LEVELS)]])
 
 
+def _branches_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (leaf, key, root, sig) to the BRANCHES nodes below, each by a token of its own."""
+    for batch in batches:
+        leaf = batch.column(0).to_numpy().view(np.uint64)
+        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, TOKENS).astype(np.uint64)
+        for k in range(BRANCHES):
+            c = (mix(leaf + np.uint64(0x51ED + k)) % np.uint64(TOKENS)).astype(np.int64)
+            below = mix(leaf * np.uint64(0x9E3779B97F4A7C15) + sig[np.arange(len(leaf)), c] + np.uint64(2 + k))
+            yield pa.record_batch([pa.array(below.view(np.int64)), batch.column(1), batch.column(2)], ["leaf", "key", "root"])
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of sorted rows: tables, and where the groups of a table begin and end."""
     held: list[pa.RecordBatch] = []
@@ -184,37 +199,96 @@ def _forests(least: float):
     return run
 
 
+class Roots:
+    """Components while links come in; names are those of the components that were known before."""
+
+    def __init__(self) -> None:
+        self.of: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        root = x
+        while (up := self.of.get(root, root)) != root:
+            root = up
+        while x != root:
+            self.of[x], x = root, self.of.get(x, x)
+        return root
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        """Whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.of[max(a, b)] = min(a, b)
+        return a != b
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """(keys, probe, rows) of neighbouring rows with equal keys, as they come; a long run comes in several parts."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in (*keys, "probe")]
+        change = np.zeros(n - 1, bool)
+        for x in columns:
+            change |= x[1:] != x[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(change) + 1, [n]]).tolist()
+        for s, e in zip(edges[:-1], edges[1:]):
+            yield tuple(x[s] for x in columns[:-1]), bool(columns[-1][s]), batch.slice(s, e - s)
+
+
+def joining(likely: np.ndarray, of_rows: list[bytes], of_columns: list[bytes], number: np.ndarray, roots: Roots) -> Iterator[tuple[int, int]]:
+    """The (row, column) that are set in likely and join two components; number is the same for columns of one component."""
+    for i in np.flatnonzero(likely.any(1)).tolist():
+        at = np.flatnonzero(likely[i])
+        for j in at[np.unique(number[at], return_index=True)[1]].tolist():
+            if roots.join(of_rows[i], of_columns[j]):
+                yield i, j
+
+
 def _crossing(least: float):
-    """Likely pairs of different components, of which one is a probe."""
+    """Likely pairs that join different components, of which one is a probe: at most one for each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, edges in groups(batches, ("leaf", "block")):
-            keys, roots = t.column("key").to_pylist(), t.column("root").to_pylist()
-            sig = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
-            probe = t.column("probe").to_numpy()
-            number = {r: i for i, r in enumerate(set(roots))}
-            root = np.array([number[r] for r in roots])
-            a, b = [], []
-            for s, e in zip(edges[:-1], edges[1:]):
-                p, m = s + np.flatnonzero(probe[s:e]), s + np.flatnonzero(~probe[s:e])
-                for at in range(0, len(p), 256):
-                    part = p[at : at + 256]
-                    i, j = np.nonzero((_likeness(sig[part], sig[m]) >= least) & (root[part][:, None] != root[m][None]))
-                    a += [keys[part[x]] for x in i]
-                    b += [keys[m[x]] for x in j]
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        held, sig, keys, names = None, [], [], []
+        for key, probe, part in runs(batches, "leaf", "block"):
+            if key != held:
+                held, sig, keys, names, roots = key, [], [], [], Roots()
+                x = number = None
+            fine = np.frombuffer(b"".join(part.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
+            if not probe:  # the members of a block come before its probes
+                sig.append(fine)
+                keys += part.column("key").to_pylist()
+                names += part.column("root").to_pylist()
+                continue
+            if not keys:
+                continue
+            if x is None:
+                x, number = np.concatenate(sig), np.unique(names, return_inverse=True)[1]
+            own, mine, a, b = part.column("key").to_pylist(), part.column("root").to_pylist(), [], []
+            for at in range(0, len(own), 256):
+                for i, j in joining(_likeness(fine[at : at + 256], x) >= least, mine[at : at + 256], names, number, roots):
+                    a.append(own[at + i])
+                    b.append(keys[j])
+            if a:
+                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
 
 def _sets(size: int):
-    """Full sets as sorted 48-bit hashes."""
+    """Full sets as sorted 48-bit hashes; of a key that comes again in the task only the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part, data, off in pieces(batches, "text"):
             h, _, _, first = word_hashes(data, off)
-            out = [(shingle_set(h[first[k] : first[k + 1]], size) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for k in range(part.num_rows)]
-            yield pa.record_batch([part.column(0), pa.array(out, pa.binary())], ["key", "elements"])
+            keys, out = part.column(2).to_pylist(), []
+            new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            for k in new:
+                out.append((shingle_set(h[first[k] : first[k + 1]], size) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            rows = part.take(pa.array(new, pa.int64()))
+            yield pa.record_batch([*rows.columns[:3], pa.array(out, pa.binary())], ["cluster", "block", "key", "elements"])
+        release_memory()
 
     return run
 
@@ -225,15 +299,110 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
-def _confirmed(percent: int):
+class Sets:
+    """Sets of which the sizes of all intersections with others are wanted."""
+
+    COLUMNS = 4096
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.elements, self.column = np.unique(np.concatenate(sets), return_inverse=True)
+        self.row = np.repeat(np.arange(len(sets)), self.sizes)
+
+    def linked(self, others: Sets, percent: int) -> np.ndarray:
+        """Which of the others (rows) share percent of the union with which of these (columns)."""
+        at = np.minimum(np.searchsorted(self.elements, others.elements), len(self.elements) - 1)
+        both = self.elements[at] == others.elements
+        place = np.full(len(self.elements), -1)
+        place[at[both]] = np.arange(both.sum())
+        x, y = place[self.column], np.where(both, np.cumsum(both) - 1, -1)[others.column]
+        common = np.zeros((len(others.sizes), len(self.sizes)), np.float32)
+        for low in range(0, int(both.sum()), self.COLUMNS):
+            some, more = (x >= low) & (x < low + self.COLUMNS), (y >= low) & (y < low + self.COLUMNS)
+            width = min(self.COLUMNS, int(both.sum()) - low)
+            m, n = np.zeros((len(self.sizes), width), np.float32), np.zeros((len(others.sizes), width), np.float32)
+            m[self.row[some], x[some] - low] = 1
+            n[others.row[more], y[more] - low] = 1
+            common += n @ m.T
+        common = np.rint(common).astype(np.int64)
+        return 100 * common >= percent * (others.sizes[:, None] + self.sizes[None] - common)
+
+
+def _links(percent: int):
+    """Links that join components: among the sets of a block, or of its probes with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = np.sort(np.concatenate([_unpacked(x), _unpacked(y)]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a: list[bytes] = []
+        b: list[bytes] = []
+
+        def among(sets: list[np.ndarray], keys: list[bytes]) -> None:
+            if len(sets) < 9:
+                roots = Roots()
+                for i, x in enumerate(sets):
+                    for j, y in enumerate(sets[:i]):
+                        # too unlike in size to be linked, or joined by other links already
+                        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or roots.find(keys[i]) == roots.find(keys[j]):
+                            continue
+                        z = np.sort(np.concatenate([x, y]))
+                        common = int((z[1:] == z[:-1]).sum())
+                        if 100 * common >= percent * (len(z) - common) and roots.join(keys[i], keys[j]):
+                            a.append(keys[i])
+                            b.append(keys[j])
+                return
+            known = Sets(sets)
+            like, outside = known.linked(known, percent), np.ones(len(sets), bool)
+            while outside.any():
+                todo = [int(np.argmax(outside))]
+                outside[todo[0]] = False
+                while todo:
+                    i = todo.pop()
+                    for j in np.flatnonzero(like[i] & outside).tolist():
+                        outside[j] = False
+                        todo.append(j)
+                        a.append(keys[i])
+                        b.append(keys[j])
+
+        def emitted() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            a.clear()
+            b.clear()
+            return out
+
+        held, sets, keys, names, seen, probed = None, [], [], [], set(), False
+        known = number = roots = None
+        for key, probe, part in runs(batches, "cluster", "block"):
+            if key != held:
+                if len(sets) > 1 and not probed:
+                    among(sets, keys)
+                held, sets, keys, names, seen, probed = key, [], [], [], set(), False
+                known, roots = None, Roots()
+                if len(a) > 4096:
+                    yield emitted()
+            own, mine, raw = part.column("key").to_pylist(), part.column("root").to_pylist(), part.column("elements")
+            if not probe:  # the members of a block come before its probes
+                for k, x in enumerate(own):
+                    if x not in seen:
+                        seen.add(x)
+                        keys.append(x)
+                        names.append(mine[k])
+                        sets.append(_unpacked(raw[k].as_py()))
+                continue
+            probed = True
+            if not sets:
+                continue
+            if known is None:
+                known, number = Sets(sets), np.unique(names, return_inverse=True)[1]
+            for at in range(0, len(own), 256):
+                like = known.linked(Sets([_unpacked(raw[k].as_py()) for k in range(at, min(at + 256, len(own)))]), percent)
+                for i, j in joining(like, mine[at : at + 256], names, number, roots):
+                    a.append(own[at + i])
+                    b.append(keys[j])
+            if len(a) > 4096:
+                yield emitted()
+        if len(sets) > 1 and not probed:
+            among(sets, keys)
+        yield emitted()
+        release_memory()
 
     return run
 
@@ -253,7 +422,7 @@ class NearDuplicates:
         self.rows = self.ws.table(rows)
         some = self.rows.where("key is not null")
         # of each class one row stands for all: the one with the smallest (id, hash of the text)
-        self.classes = self.ws.table(some.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("one"), F.min("doc").alias("low"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.count("*").alias("rows")))
+        self.classes = self.ws.table(some.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("one"), F.min("doc").alias("low"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.first("n").alias("n")))
 
     def leaves(self) -> DataFrame:
         """Rows (leaf, size, key): a class in a node of each tree, without nodes of one class."""
@@ -280,54 +449,82 @@ class NearDuplicates:
         large = leaves.where(F.col("size") > NODE).groupBy("leaf").agg(F.min("key").alias("key"), F.first("size").alias("size"))
         leader = large.select("leaf", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "key")
         rows = self._in_blocks(rows.unionByName(leader).distinct())
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(n, "leaf", "block").sortWithinPartitions("leaf", "block").mapInArrow(_forests(self.least), "a binary, b binary")
+        return rows.repartition(self._partitions(), "leaf", "block").sortWithinPartitions("leaf", "block").mapInArrow(_forests(self.least), "a binary, b binary")
+
+    def _partitions(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _open(self, rows: DataFrame) -> DataFrame:
+        """Rows (leaf, key, root) of nodes that hold more than one component, with the node's size, largest component and how many are outside it."""
+        of_leaf = rows.groupBy("leaf", "root").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+        of_leaf = self.ws.table(of_leaf.where("roots > 1").select("leaf", "size", F.col("most.root").alias("most"), (F.col("size") - F.col("most.n")).alias("outside")))
+        return self.ws.table(rows.join(sent_if_small(of_leaf), "leaf"))
 
     def crossing(self, leaves: DataFrame, roots: DataFrame) -> DataFrame:
-        rows = leaves.join(roots.select(F.col("node").alias("key"), "component"), "key", "left").select("leaf", "size", "key", F.coalesce("component", "key").alias("root"))
-        rows = self.ws.table(rows)
-        of_leaf = rows.groupBy("leaf", "root").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
-        open_ = rows.join(of_leaf.where("roots > 1").select("leaf", "most.root").withColumnRenamed("root", "most"), "leaf")
+        """Likely pairs that join components which the forests have left apart, a spanning part of them for each block."""
+        of_key = self.ws.table(leaves.select("key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("root")))
+        open_ = self._open(leaves.select("leaf", "key").join(sent_if_small(of_key), "key"))
+        for _ in range(DEEPER):
+            wide = open_.where(F.col("outside") > BLOCK)
+            if not wide.limit(1).count():
+                break
+            below = wide.select("leaf", "key", "root").join(self.classes.select("key", "sig"), "key").select("leaf", "key", "root", "sig")
+            below = self._open(self.ws.table(below.mapInArrow(_branches_on, "leaf long, key binary, root binary")))
+            open_ = self.ws.table(open_.where(F.col("outside") <= BLOCK).unionByName(below))
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         members = open_.select("leaf", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), "key", "root", F.lit(False).alias("probe"))
         probes = open_.where("root <> most").select("leaf", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "key", "root", F.lit(True).alias("probe"))
         rows = self._in_blocks(members.unionByName(probes), "root", "probe")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(n, "leaf", "block").sortWithinPartitions("leaf", "block").mapInArrow(_crossing(self.least), "a binary, b binary")
-
-    def pairs(self, found: DataFrame) -> DataFrame:
-        return self.ws.table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-
-    def sets_of(self, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Full sets of the classes in pairs, from the text of one row of each, but for those known."""
-        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        if known is not None:
-            keys = keys.join(known, "key", "left_anti")
-        wanted = keys.join(self.classes, "key").select("key", F.col("one.doc").alias("d"), F.col("one.h").alias("h"))
-        text = self.docs.join(wanted, (F.col("doc").eqNullSafe(F.col("d"))) & (self.docs["h"] == wanted["h"])).select("key", "text")
-        # rows that are repeated as a whole come more than once
-        return self.ws.table(text.mapInArrow(_sets(self.size), "key binary, elements binary").dropDuplicates(["key"]))
-
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
-        y = x.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-        return self.ws.table(y.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent), "a binary, b binary"))
+        return rows.repartition(self._partitions(), "leaf", "block").sortWithinPartitions("leaf", "block", "probe").mapInArrow(_crossing(self.least), "a binary, b binary")
+
+    def sets_of(self, clusters: DataFrame) -> DataFrame:
+        """Rows (cluster, blocks, block, key, elements): the full sets of all classes in clusters, from the text of one row of each."""
+        of = clusters.select(F.col("node").alias("key"), F.xxhash64("component").alias("cluster")).join(self.classes.select("key", "n", "one"), "key")
+        of = self.ws.table(of.select("key", "cluster", "n", F.col("one.doc").alias("d"), F.col("one.h").alias("h")))
+        wide = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SETS)).cast("int")
+        self.wide = self.ws.table(of.groupBy("cluster").agg(wide.alias("blocks")).where("blocks > 1"))
+        block = F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")
+        wanted = self.ws.table(of.join(sent_if_small(self.wide), "cluster", "left").select("key", "cluster", block.alias("block"), "d", "h"))
+        wanted = sent_if_small(wanted)
+        text = self.docs.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (self.docs["h"] == wanted["h"])).select("cluster", "block", "key", "text")
+        return self.ws.table(text.mapInArrow(_sets(self.size), "cluster long, block int, key binary, elements binary"))
+
+    def links(self, sets: DataFrame) -> DataFrame:
+        """Rows (cluster, block, key, elements, root, probe) to links that join components."""
+        rows = sets.select("cluster", "block", "key", "elements", "root", "probe").repartition(self._partitions(), "cluster", "block")
+        return self.ws.table(rows.sortWithinPartitions("cluster", "block", "probe").mapInArrow(_links(self.percent), "a binary, b binary"))
+
+    def across(self, sets: DataFrame, roots: DataFrame) -> DataFrame | None:
+        """The sets of clusters in several blocks, where they have more than one component yet: each block with all probes."""
+        if not self.wide.limit(1).count():
+            return None
+        large = sets.join(sent_if_small(self.wide), "cluster")
+        of_key = self.ws.table(large.select("cluster", "blocks", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").select("cluster", "key", "blocks", F.coalesce("component", "key").alias("root")))
+        most = of_key.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
+        most = self.ws.table(most.where("roots > 1").select("cluster", "most.root").withColumnRenamed("root", "most"))
+        of_key = self.ws.table(of_key.join(sent_if_small(most), "cluster").select("key", "blocks", "root", "most"))
+        open_ = sets.join(sent_if_small(of_key), "key")
+        probes = open_.where("root <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return open_.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)))
 
     def run(self) -> DataFrame:
         """Rows (doc, h, n_shingles, component_id, kept); h is the hash of the text."""
+        ends = lambda roots: roots.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        components = lambda edges: self.ws.table(connected_components(self.spark, edges, self.ws))
         with arrow_batches(self.spark, 2000):
             self.sketched()
             leaves = self.leaves()
-            first = self.pairs(self.forest(leaves))
-            sets = self.sets_of(first, None)
-            links = self.confirmed(first, sets)
-            roots = self.ws.table(connected_components(self.spark, links, self.ws))
-            more = self.pairs(self.crossing(leaves, roots).join(first, ["a", "b"], "left_anti"))
+            clusters = components(self.ws.table(self.forest(leaves)))
+            more = self.ws.table(self.crossing(leaves, clusters))
             if more.limit(1).count():
-                extra = self.sets_of(more, sets.select("key"))
-                second = self.confirmed(more, sets.unionByName(extra))
-                links = links.unionByName(second)
-                roots = self.ws.table(connected_components(self.spark, links, self.ws))
+                clusters = components(ends(clusters).unionByName(more))
+            sets = self.sets_of(clusters)
+            roots = components(self.links(sets.withColumns({"root": F.col("key"), "probe": F.lit(False)})))
+            rest = self.across(sets, roots)
+            if rest is not None:
+                second = self.links(rest)
+                if second.limit(1).count():
+                    roots = components(ends(roots).unionByName(second))
         return self.answer(roots)
 
     def answer(self, roots: DataFrame) -> DataFrame:
@@ -335,6 +532,8 @@ class NearDuplicates:
         lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
         linked = joined.join(lows, "component").select("key", "component_id")
         of_class = self.classes.select("key", "low").join(linked, "key", "left").select("key", F.coalesce("component_id", "low").alias("component_id"))
+        # written, so that adaptive execution can split a hot class
+        of_class = sent_if_small(self.ws.table(of_class))
         some = self.rows.where("key is not null").select("doc", "h", "n", "key").join(of_class, "key").select("doc", "h", "n", "component_id")
         none = self.rows.where("key is null").select("doc", "h", "n", F.col("doc").alias("component_id"))
         return some.unionByName(none).select("doc", "h", F.col("n").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -349,8 +548,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     has an empty set and is linked with nothing. Null ids are larger than all others; components of null ids alone have
     a null component_id, and their rows are kept. Repeated ids share their verdict.
 
-    Hot groups: exact copies meet as one class in an aggregate with map-side combine; near copies meet in nodes that are
-    compared in blocks; joins on a hot class or node are split by adaptive execution.
+    Hot groups: exact copies meet as one class in an aggregate with map-side combine; near copies meet in nodes and
+    clusters that are compared in blocks, inside a kernel that gives spanning links only; joins on a hot class are
+    broadcast where the other side is small, else merge joins of written tables, which adaptive execution splits.
     """
     return NearDuplicates(docs, percent, size, id_col, text_col).run().drop("h")
 
