@@ -140,7 +140,7 @@ s AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN s
 h AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM s),
 r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h),
 o AS (SELECT *, row_number() OVER w - 1 AS seq, sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM r
-    WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
+    WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, md5(text)))
 SELECT conv_id, perspective, seq, turn, role, name, rendered, CAST(e - length(rendered) AS BIGINT) AS char_start, CAST(e AS BIGINT) AS char_end,
   CAST(CASE WHEN role = 'assistant' THEN e - length(rendered) + length(head) ELSE e END AS BIGINT) AS mask_start, CAST(e AS BIGINT) AS mask_end, role <> 'assistant' AS masked
 FROM o""",
