@@ -1,8 +1,8 @@
 """Sharding by histogram sort: exact bytes below candidate key boundaries, refined until the splitters are near enough.
 
-The sort key of a row is (hash of its text, hash of its id, its id). Equal texts therefore lie next to each other, and
-a shard boundary is put between two texts wherever that meets the tolerance. A text that fills more than a shard is cut
-between its rows, by the second part of the key.
+The sort key of a row is (hash of its text, hash of its id, number of the row in the table). Equal texts therefore lie
+next to each other, and a shard boundary is put between two texts wherever that meets the tolerance. A text that fills
+more than a shard is cut between its rows, by the second part of the key, and between repeated rows by the third.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 
 BITS = 8
+KEYS = ("k1", "k2", "k3")
+DEEPEST = 8 * len(KEYS) - 1
 LAW = "bytes"
 
 
@@ -30,9 +32,21 @@ class Splitter:
 
 
 def _digit(level: int) -> Column:
-    """Digit number `level` of the key: 8 of the text's hash, then 8 of the id's."""
-    key, shift = ("k1", 56 - BITS * level) if level < 8 else ("k2", 56 - BITS * (level - 8))
-    return F.shiftrightunsigned(F.col(key), shift).bitwiseAND(F.lit(255)).cast("int")
+    """Digit number `level` of the key: 8 for each part."""
+    return F.shiftrightunsigned(F.col(KEYS[level // 8]), 56 - BITS * (level % 8)).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _within(prefix: tuple[int, ...]) -> Column:
+    """Whether a key begins with these digits: whole parts by equality, the last by its leading bits."""
+    fits = F.lit(True)
+    for k, key in enumerate(KEYS):
+        digits = prefix[8 * k : 8 * k + 8]
+        if not digits:
+            break
+        number = sum(d << (BITS * (len(digits) - 1 - at)) for at, d in enumerate(digits))
+        whole = len(digits) == 8
+        fits = fits & (F.col(key) == _signed(number) if whole else F.shiftrightunsigned(F.col(key), 64 - BITS * len(digits)) == number)
+    return fits
 
 
 def _ordered(key: Column) -> Column:
@@ -42,7 +56,7 @@ def _ordered(key: Column) -> Column:
 def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int, ...]]:
     """The shards - 1 boundaries, as leading digits of the first key of a shard.
 
-    keys has k1, k2 (unsigned order) and size. Each round counts the bytes below 256 evenly spaced probes inside each
+    keys has k1, k2, k3 (unsigned order) and size. Each round counts the bytes below 256 evenly spaced probes inside each
     interval that still holds a boundary: one aggregate of at most shards * 256 rows, whatever the input.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -53,24 +67,24 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
     all_ = list(open_)
     while open_:
         level = open_[0].level
-        prefixes = {s.prefix for s in open_}
-        digits = F.concat_ws(",", *[_digit(k) for k in range(level)]) if level else F.lit("")
-        names = {",".join(map(str, p)): p for p in prefixes}
-        counts: dict[tuple[int, ...], dict[int, int]] = {p: {} for p in prefixes}
-        rows = keys.where(digits.isin(list(names))) if level else keys
-        for name, digit, size in rows.groupBy(digits.alias("prefix"), _digit(level).alias("digit")).agg(F.sum("size")).collect():
-            counts[names[name]][digit] = size
+        prefixes = sorted({s.prefix for s in open_})
+        counts: list[dict[int, int]] = [{} for _ in prefixes]
+        interval = F.coalesce(*[F.when(_within(p), F.lit(k)) for k, p in enumerate(prefixes)])
+        rows = keys.select(interval.alias("interval"), _digit(level).alias("digit"), "size").where("interval is not null")
+        for k, digit, size in rows.groupBy("interval", "digit").agg(F.sum("size")).collect():
+            counts[k][digit] = size
+        found = dict(zip(prefixes, counts))
         still = []
         for s in open_:
             at = s.below
-            for digit in sorted(counts[s.prefix]):
-                size = counts[s.prefix][digit]
-                if at + size > s.target or digit == max(counts[s.prefix]):
+            for digit in sorted(found[s.prefix]):
+                size = found[s.prefix][digit]
+                if at + size > s.target or digit == max(found[s.prefix]):
                     break
                 at += size
             # the boundary is inside the interval of this digit; its two ends are the nearest probes
             low, high = s.target - at, at + size - s.target
-            if level == 15 or min(low, high) <= near * (level < 8) or (level >= 8 and min(low, high) <= 1):
+            if level == DEEPEST or min(low, high) <= near * (level < 8) or (level >= 8 and min(low, high) <= 1):
                 s.bound = (*s.prefix, digit) if low <= high else (*s.prefix, digit + 1)
             else:
                 s.below, s.level, s.prefix = at, level + 1, (*s.prefix, digit)
@@ -80,8 +94,8 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
 
 
 def _number(bound: tuple[int, ...]) -> int:
-    """The boundary as a number of 128 bits; digits may be 256, which carries."""
-    return sum(d << (120 - BITS * k) for k, d in enumerate(bound))
+    """The boundary as one number over all digits; digits may be 256, which carries."""
+    return sum(d << (BITS * (DEEPEST - k)) for k, d in enumerate(bound))
 
 
 def _signed(x: int) -> int:
@@ -90,13 +104,15 @@ def _signed(x: int) -> int:
 
 def shard_of(bounds: list[int]) -> Column:
     """How many boundaries are at or below the key: a chain of comparisons inside generated code."""
-    a, b = _ordered(F.col("k1")), _ordered(F.col("k2"))
-    shard = F.lit(0)
+    shard, top = F.lit(0), 64 * len(KEYS)
     for x in bounds:
-        if x >= 2**128:
+        if x >> top:
             continue
-        hi, lo = F.lit(_signed((x >> 64) ^ 2**63)), F.lit(_signed((x & (2**64 - 1)) ^ 2**63))
-        shard = shard + F.when((a > hi) | ((a == hi) & (b >= lo)), 1).otherwise(0)
+        parts = [F.lit(_signed((x >> (top - 64 * (k + 1))) % 2**64 ^ 2**63)) for k in range(len(KEYS))]
+        behind = F.lit(True)
+        for key, part in reversed(list(zip(KEYS, parts))):
+            behind = (_ordered(F.col(key)) > part) | ((_ordered(F.col(key)) == part) & behind)
+        shard = shard + F.when(behind, 1).otherwise(0)
     return shard
 
 
@@ -108,7 +124,8 @@ def histogram_shards(
     size is the UTF-8 bytes of the text (a null text: none) plus overhead; shards differ from their share by at most
     tolerance where whole texts allow it, else by half a row. slot counts a shard's rows from 0 without gaps, in key
     order. payload columns travel with the one exchange; the text itself does if it is asked for as payload. Rows with
-    equal ids and texts are ordered arbitrarily, and a boundary does not part them. No documents: no rows.
+    equal ids and texts are ordered by their place in the written table, and a boundary may part them. No documents: no
+    rows.
 
     Keys and sizes are written once to the shared folder, narrow, and the probes read only them. The exchange is by
     ranges of (shard, key), so that a shard, or a text that a third of the rows share, spreads over many tasks.
@@ -121,13 +138,15 @@ def histogram_shards(
         (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("k1"),
         F.xxhash64(F.col(id_col), F.lit(7)).alias("k2"),
+        F.monotonically_increasing_id().alias("k3"),
         *[c.alias(f"_{name}") for name, c in payload.items()],
     )
     rows = ws.table(rows)
-    bounds = sorted(map(_number, splitters(rows.select("k1", "k2", "size"), shards, tolerance)))
+    bounds = sorted(map(_number, splitters(rows.select(*KEYS, "size"), shards, tolerance)))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.withColumn("shard", shard_of(bounds).cast("int")).withColumn("o1", _ordered(F.col("k1"))).withColumn("o2", _ordered(F.col("k2")))
-    placed = placed.repartitionByRange(n, "shard", "o1", "o2", "id").sortWithinPartitions("shard", "o1", "o2", "id")
+    placed = rows.withColumn("shard", shard_of(bounds).cast("int")).withColumns({f"o{k}": _ordered(F.col(k)) for k in KEYS})
+    order = ["shard", *[f"o{k}" for k in KEYS]]
+    placed = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = ws.table(placed.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     ws.drop(rows)
     # a shard's rows in earlier partitions: one row for each (partition, shard), at most partitions + shards in all
