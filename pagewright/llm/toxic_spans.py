@@ -287,19 +287,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN, n_field: int = FIELD_DOCUMENTS) -> Field:
     """Fits a field on labelled documents that are not held out, at most n_toxic and n_clean of them.
 
-    Labels join by id; null labels and ids are ignored. Of either kind the documents with the smallest hashed ids are
+    Labels join by id; null labels and ids are ignored, and so are ids with labels of both kinds. Of repeated ids the
+    smallest text is learned, once. Of either kind the documents with the smallest hashed ids are
     taken, up to half of TRAIN_BYTES, so the sample does not depend on the order of rows. Texts above LONG_BYTES come
     last, the shorter ones first, so that they take only bytes that the others leave. Weights are fitted to the first
-    n_field of either kind in the order of hashed ids, the scores of documents to the whole sample.
+    n_field (FIELD_DOCUMENTS, 400) of either kind in the order of hashed ids, the scores of documents to the whole
+    sample, n_toxic (TRAIN_TOXIC, 1200) and n_clean (TRAIN_CLEAN, 2000) documents of TRAIN_BYTES (10 MB) at most.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("toxic"))
-    known = known.where(~held_out("id")).dropDuplicates(["id"]).withColumn("h", F.xxhash64("id", F.lit(3)))
+    known = known.where(~held_out("id")).groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    known = known.withColumn("h", F.xxhash64("id", F.lit(3)))
     chosen = known.where("toxic").orderBy("h", "id").limit(n_toxic).unionByName(known.where("not toxic").orderBy("h", "id").limit(n_clean))
     chosen = [(r.id, r.toxic) for r in chosen.collect()]
     spark = docs.sparkSession
     table = spark.createDataFrame(chosen, "id long, toxic boolean")
     # the sample is bounded, so its ids can be sent to the scan
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(table), "id")
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("id", F.lit(3))).withColumn("n", F.octet_length("text").cast("long"))
     # one kind after the other, so that each has its half of the bytes
     long = F.when(F.col("n") > LONG_BYTES, F.col("n")).otherwise(0)
