@@ -525,7 +525,9 @@ class NearDuplicates:
                 second = self.links(rest)
                 if second.limit(1).count():
                     roots = components(ends(roots).unionByName(second))
-        return self.answer(roots)
+        found = self.ws.table(self.answer(roots))
+        self.ws.drop_but(found)
+        return found
 
     def answer(self, roots: DataFrame) -> DataFrame:
         joined = self.classes.select("key", "low").join(roots.withColumnRenamed("node", "key"), "key")

@@ -34,10 +34,12 @@ def workers_can_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in local tests."""
+    """The cluster's shared folder. Only a local session may do without one: it gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="pagewright-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -48,29 +50,60 @@ def shared_dir(spark: SparkSession) -> str:
 ROW_GROUP = 16 << 20
 
 
+#: Shuffle files of a query are of no use once its result is written; else they stay until the driver collects garbage.
+RELEASED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
-    """Tables of one operator call below the shared folder. A table can be dropped once nothing reads it."""
+    """Tables of one operator call below the shared folder. A table can be dropped once nothing reads it.
+
+    Operators drop what their result does not read. What it does read stays until release(spark) is called, as a result
+    is computed when its reader asks for it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: set[str] = set()
 
     def table(self, df: DataFrame, codec: str = "zstd", max_records: int | None = None) -> DataFrame:
         """Writes df and reads it back: lineage ends here, and a lost executor costs no recomputation."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        writer = df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP)
-        if max_records:
-            writer = writer.option("maxRecordsPerFile", max_records)
-        writer.parquet(path)
+        with session_set(self.spark, RELEASED, "true"):
+            writer = df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP)
+            if max_records:
+                writer = writer.option("maxRecordsPerFile", max_records)
+            writer.parquet(path)
+        _written.setdefault(self.spark.sparkContext.applicationId, set()).add(self.root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pagewright_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._pagewright_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, t._pagewright_path)
+            self.paths.discard(t._pagewright_path)
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Drops all tables but these."""
+        for path in self.paths - {t._pagewright_path for t in tables}:
+            _delete(self.spark, path)
+            self.paths.discard(path)
+
+
+_written: dict[str, set[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this subpackage have written in this session: results that were not yet read go."""
+    for root in _written.pop(spark.sparkContext.applicationId, set()):
+        _delete(spark, root)
 
 
 #: A table of at most so many narrow rows (some 50 bytes each) is sent to every executor; a larger one is exchanged.
@@ -89,15 +122,19 @@ def release_memory() -> None:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside send at most so many rows to Python at once; for rows that hold whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def session_set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for the jobs that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def arrow_batches(spark: SparkSession, rows: int):
+    """Jobs that run inside send at most so many rows to Python at once; for rows that hold whole texts."""
+    return session_set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 # ---------------------------------------------------------------- connected components
