@@ -141,9 +141,12 @@ def test_decontamination_equals_brute_force(spark):
     for block in (2_000_000, 3):  # in one automaton, and in several
         got = decontamination.contaminated_spans(documents(spark, docs), bench, 4, block_words=block).collect()
         assert sorted((r.n_words, r.n_hit, r.items) for r in got) == want
-    clean = decontamination.remove_contamination(documents(spark, docs), bench, 4, max_coverage=0.4)
-    assert clean.columns == documents(spark).columns
-    assert sum(1 for _, t, *_ in docs if brute(t)[1] <= 0.4 * brute(t)[0] or not brute(t)[1]) == clean.count()
+    cleaned = []
+    for block in (2_000_000, 3):
+        clean = decontamination.remove_contamination(documents(spark, docs), bench, 4, max_coverage=0.4, block_words=block)
+        assert clean.columns == documents(spark).columns
+        cleaned.append(sorted(clean.collect(), key=str))
+    assert cleaned[0] == cleaned[1] and len(cleaned[0]) == sum(1 for _, t, *_ in docs if brute(t)[1] <= 0.4 * brute(t)[0] or not brute(t)[1])
     assert decontamination.contaminated_spans(documents(spark, []), bench).count() == 0
     assert decontamination.contaminated_spans(documents(spark), bench.limit(0)).where("n_hit > 0").count() == 0
 
@@ -159,12 +162,24 @@ def test_shards_are_even_and_gapless(spark):
     for s in range(6):
         mine = [r for r in out if r.shard == s]
         assert sorted(r.slot for r in mine) == list(range(len(mine)))
-        if s not in {r.shard for r in out if r.size > total / 12}:
-            assert abs(sum(r.size for r in mine) - total / 6) < 15_100 + total / 60
+        # a row is not cut: a shard misses its share by the tolerance and by one row at either end
+        assert abs(sum(r.size for r in mine) - total / 6) <= 0.01 * total / 6 + max(r.size for r in out)
     assert {r.text_crc32 for r in out if r.doc_id == 6} == {zlib.crc32(("Ä " * 40).encode())}
     assert histogram_sort.digest(documents(spark, [])).count() == 0
 
 
+def test_shards_of_small_and_of_repeated_rows_are_even(spark):
+    rng = random.Random(1)
+    rows = [(k, f"row {rng.randrange(10**6)}", "en", "x", "k") for k in range(300)] + [(7, "one and the same row", "en", "x", "k")] * 300
+    for given in (rows, rows[300:]):
+        out = histogram_sort.digest(documents(spark, given), shards=6, tolerance=0.01).collect()
+        assert len(out) == len(given)
+        sizes = [sum(r.size for r in out if r.shard == s) for s in range(6)]
+        assert max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 6 + 2 * max(r.size for r in out)
+        for s in range(6):
+            assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -226,14 +241,30 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.exact_top_k(df.limit(0)).count() == 0
 
 
-def test_threshold_stops_early():
+@pytest.mark.parametrize("spread", [1.0, 0.5])
+def test_threshold_stops_early_and_scores_nothing_twice(spread):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(4000, 3)).round(3)
-    lists = topk_search.Lists(np.arange(4000), x)
-    q = np.array([[1.0, 0, 0], [0.5, -1.0, 0.2]])
-    best = topk_search.Best(2, 5)
-    scored = topk_search.threshold_search(lists, np.array([-1, -2]), q, best, np.arange(2))
-    assert scored < 2000 and np.allclose(best.score, -np.sort(-(q @ x.T), axis=1)[:, :5])
+    x = np.floor(256 * rng.normal(size=(4000, 16)) * spread ** np.arange(16)).astype(np.int64)
+    q, best = x[:20], topk_search.Best(20, 5)
+    scored = read = 0
+    for at in range(0, 4000, 1000):  # blocks, as a task meets them
+        found = topk_search.threshold_search(topk_search.Lists(np.arange(at, at + 1000), x[at : at + 1000]), np.arange(20), q, best)
+        read, scored = read + found[0], scored + found[1]
+    for r in range(20):
+        want = sorted((-int(x[r] @ x[i]), i) for i in range(4000) if i != r)[:5]
+        assert best.found[r] == want
+    assert scored <= 20 * 3999  # nothing is scored twice
+    if spread < 1:  # a few dimensions decide
+        assert scored < 0.5 * 20 * 4000 and read < 0.5 * 20 * 4000 * 16
+
+
+def test_huge_components_are_exact():
+    x = np.array([[2**40, 1], [2**40, 2], [2**40 - 1, 5]])
+    best = topk_search.Best(1, 2)
+    topk_search.threshold_search(topk_search.Lists(np.arange(3), x), np.array([9]), np.array([[2**20, 1]]), best)
+    assert best.found[0] == [(-(2**60 + 2), 1), (-(2**60 + 1), 0)]
+    with pytest.raises(OverflowError):
+        topk_search.threshold_search(topk_search.Lists(np.arange(3), x), np.array([9]), np.array([[2**40, 1]]), topk_search.Best(1, 2))
 
 
 # ---------------------------------------------------------------- 8
@@ -383,6 +414,10 @@ def test_perspectives(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = perspectives.rotate_perspectives(df)
     whole = {(r.conv_id, r.perspective): (r.dialogue, [d[1] for d in r.loss_spans], r.dialogue[r.loss_spans[0][0] : r.loss_spans[0][1]]) for r in perspectives.dialogues(out).collect()}
+    cut = {}
+    for r in perspectives.dialogues(out, 2).orderBy("part").collect():
+        cut[r.conv_id, r.perspective] = cut.get((r.conv_id, r.perspective), "") + r.dialogue
+    assert cut == {k: v[0] for k, v in whole.items()}
     assert set(whole) == {(1, "a"), (1, "b"), (1, "unknown"), (None, "a")}
     text, _, loss = whole[1, "b"]
     assert text == "<|im_start|>system\nbe<|im_end|>\n<|im_start|>assistant\nhi <\\|im_start|><|im_end|>\n<|im_start|>user name=a\n<|im_end|>\n<|im_start|>user name=unknown\nx<|im_end|>\n"
@@ -390,6 +425,13 @@ def test_perspectives(spark):
     assert perspectives.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_order_of_ties_does_not_depend_on_partitions(spark):
+    rows = [(1, 0, "a", f"t{k:02}") for k in range(12)] + [(1, 0, "a", "t03")] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [[r.rendered for r in perspectives.rotate_perspectives(df.repartition(n), partitions=n).orderBy("seq").collect()] for n in (1, 4, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 15
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -467,6 +509,14 @@ def test_field_is_fitted_across_all_ids(spark):
     assert sum(r.highest >= 0.5 for r in out) >= 0.97 * len(out)
 
 
+def test_conflicting_labels_and_repeated_rows_are_not_learned_twice(spark):
+    rows, marks = labelled(spark, lambda k: "vileness")
+    field = toxic_spans.train(documents(spark, rows), marks)
+    more = marks.unionByName(spark.createDataFrame([(900, 0), (900, 1)], marks.schema)).unionByName(marks)
+    again = toxic_spans.train(documents(spark, rows * 2 + [(900, "vileness " * 9, "en", "x", "k")]), more)
+    assert np.array_equal(field.weights, again.weights) and np.array_equal(field.document, again.document)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
