@@ -120,14 +120,6 @@ def stands_upright(box: Column, width_by_height: Column) -> Column:
     return F.abs(box["cx"] - box["dx"]) * width_by_height < box_height(box)
 
 
-def intersection_share(a: Column, b: Column) -> Column:
-    """Share of the upright hull of a that the upright hull of b covers; exact for axis-aligned boxes."""
-    (ax0, ax1), (ay0, ay1), (bx0, bx1), (by0, by1) = x_range(a), y_range(a), x_range(b), y_range(b)
-    w, h = F.least(ax1, bx1) - F.greatest(ax0, bx0), F.least(ay1, by1) - F.greatest(ay0, by0)
-    own = (ax1 - ax0) * (ay1 - ay0)
-    return F.when((w <= 0) | (h <= 0) | (own == 0), 0.0).otherwise(w * h / own)
-
-
 def combined(a: Column, b: Column, infix: str = " ") -> Column:
     """The upright hull of both; texts joined, a text that is missing on one side is empty there; no label."""
     (ax0, ax1), (ay0, ay1), (bx0, bx1), (by0, by1) = x_range(a), y_range(a), x_range(b), y_range(b)
@@ -178,8 +170,8 @@ def _part(box: Column, ratio: float, which: int) -> Column:
 
 
 def jittered(box: Column, most: float, seed: int) -> Column:
-    """Each coordinate moved by a random amount below most."""
-    return with_corners(box, {c: box[c] + F.rand(seed + k) * most for k, c in enumerate(CORNERS)})
+    """Each coordinate moved by a random amount below most, and the corners put in their places again."""
+    return normalised(with_corners(box, {c: box[c] + F.rand(seed + k) * most for k, c in enumerate(CORNERS)}))
 
 
 def retext(box: Column, text: Column) -> Column:

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+
+from pagewright.sources.tables import materialised
 
 #: The blocks of Arabic letters.
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 #: Language codes that are written from right to left.
 RTL_LANGUAGES = ("ar", "arc", "dv", "fa", "ha", "he", "khw", "ks", "ku", "ps", "ur", "yi")
 #: Bidirectional classes by dominance; all others are 5.
-BIDI_CODES = {"L": 0, "R": 1, "AL": 1, "EN": 2, "AN": 3, "ET": 4, "ON": 5}
-#: A date range: two dates of day, month and year with / or . and a hyphen between them.
-DATE = r"\d{1,2}\s*[/\.]\s*\d{1,2}\s*[/\.]\s*\d{4}"
-DATE_RANGE = rf"^\s*{DATE}\s*-\s*{DATE}\s*$"
+BIDI_CODES = {"ON": 5, "ET": 4, "AN": 3, "EN": 2, "R": 1, "AL": 1, "L": 0}
+#: Fixed value: the pattern of a date range.
+DATE_RANGE = r"^\s*\d{1,2}\s*[/\.]\s*\d{1,2}\s*[/\.]\s*\d{4}\s*-\s*\d{1,2}\s*[/\.]\s*\d{1,2}\s*[/\.]\s*\d{4}\s*$"
 
 
 def stripped(text: Column) -> Column:
@@ -47,33 +47,26 @@ def is_word(text: Column) -> Column:
     return text.rlike(r"^\p{L}{2,}$")
 
 
-def latin_box_type(text: Column) -> Column:
-    """The dominant bidirectional class of a text in Latin or right-to-left script, digits or other characters."""
-    return (
-        F.when(text == "", 0)
-        .when(text.rlike(r"[\p{L}&&[^\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}]]"), 0)
-        .when(text.rlike(r"[\p{L}&&[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}]]"), 1)
-        .when(text.rlike(r"[0-9]"), 2)
-        .when(text.rlike(r"[٠-٩]"), 3)
-        .when(text.rlike(r"[#$%°¢£¤¥€‰±]"), 4)
-        .otherwise(5)
-    )
-
-
-@F.pandas_udf(IntegerType())
-def exact_box_type(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """As latin_box_type, by the Unicode database."""
-    known: dict[str, int] = {}
-    for batch in texts:
-        out = []
-        for text in batch:
-            codes = []
-            for c in text or "":
-                if c not in known:
-                    known[c] = BIDI_CODES.get(unicodedata.bidirectional(c), 5)
-                codes.append(known[c])
-            out.append(min(codes, default=0))
-        yield pd.Series(out, dtype="int32")
+@cache
+def bidi_ranges() -> dict[int, str]:
+    """For each code but the last, the characters that have it, as a character class; from the Unicode database."""
+    codes = np.array([BIDI_CODES.get(unicodedata.bidirectional(chr(c)), 5) for c in range(0x110000)])
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]])
+    out: dict[int, str] = {}
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if codes[a] < 5:
+            out[int(codes[a])] = out.get(int(codes[a]), "") + rf"\x{{{a:X}}}-\x{{{z - 1:X}}}"
+    return {code: f"[{ranges}]" for code, ranges in sorted(out.items())}
+
+
+def box_type(text: Column) -> Column:
+    """The dominant bidirectional class of a text, by the Unicode database; that of an empty text is 0.
+
+    Texts of ASCII characters, of which letters, digits and # $ % have a class, need no long character class.
+    """
+    ascii_ = F.when(text.rlike("[A-Za-z]"), 0).when(text.rlike("[0-9]"), 2).when(text.rlike("[#$%]"), 4).otherwise(5)
+    others = F.coalesce(*[F.when(text.rlike(ranges), code) for code, ranges in bidi_ranges().items()], F.lit(5))
+    return F.when(text == "", 0).when(text.rlike(r"^[\x00-\x7F]*$"), ascii_).otherwise(others)
 
 
 def barcode_text(kind: Column, data: Column) -> Column:
@@ -138,10 +131,17 @@ PALETTES = (
 
 
 def label_colours(labels: DataFrame, column: str = "label") -> DataFrame:
-    """Rows (label, colour) of the distinct labels in order. Their number is bounded by what can be told apart in a drawing,
-    so one task orders them."""
+    """Rows (label, colour) of the distinct labels in order; the colours of the largest palette repeat.
+
+    The place of a label is how many are in the ranges before its own and in its own before it, so no task holds all.
+    """
     distinct = labels.where(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct()
-    numbered = distinct.agg(F.sort_array(F.collect_set("label")).alias("ls")).select(F.size("ls").alias("n"), F.posexplode("ls").alias("at", "label"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialised(distinct.repartitionByRange(parts, "label").sortWithinPartitions("label").withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("count"))  # one row for each partition
+    sums = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy()).alias("n"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1 + F.col("before")
+    numbered = ranged.join(F.broadcast(sums), "part").select("label", "n", at.alias("at"))
     sizes = [len(p) for p in PALETTES]
     size = F.coalesce(*[F.when(F.col("n") <= s, s) for s in sizes], F.lit(sizes[-1]))
     colours = F.create_map(*[x for p in PALETTES for x in (F.lit(len(p)), F.array(*map(F.lit, p)))])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
+from pagewright.operators.keys import on_page
 
 #: Ratios at which a box with a date range is cut: behind the first date, and behind the hyphen in what is left.
 FIRST_DATE, HYPHEN = 0.49, 0.07
@@ -43,7 +44,7 @@ def without_columns_of_digits(boxes: DataFrame, page: list[str], width_by_height
     A text without characters is dropped, a missing text stays.
     """
     b = F.col(box)
-    joined = boxes.join(median_height(boxes, page, box), page)
+    joined = on_page(boxes, median_height(boxes, page, box), page)
     odd = (G.box_height(b) > F.col("median_height") * TALL) & G.stands_upright(b, width_by_height) & (F.length(T.stripped(b["text"])) != 1)
     return joined.where(~F.coalesce(odd, F.lit(False))).drop("median_height")
 
@@ -83,8 +84,8 @@ def without_date_runs(boxes: DataFrame, page: list[str], box: str = "box", seq:
         return pd.DataFrame({**{p: [rows[p].iloc[0]] * len(gone) for p in page}, seq: gone})
 
     schema = ", ".join(f"`{c}` {boxes.schema[c].dataType.simpleString()}" for c in [*page, seq])
-    words = boxes.join(candidates, page, "left_semi").select(*page, F.col(seq).alias("_seq"), F.col(box)["text"].alias("_text"))
-    return boxes.join(words.groupBy(*page).applyInPandas(doomed, schema), [*page, seq], "left_anti")
+    words = on_page(boxes, candidates, page, "left_semi").select(*page, F.col(seq).alias("_seq"), F.col(box)["text"].alias("_text"))
+    return on_page(boxes, words.groupBy(*page).applyInPandas(doomed, schema), [*page, seq], "left_anti")
 
 
 def confident(boxes: DataFrame, threshold: float, confidence: str = "confidence") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.operators.keys import on_page
 from pagewright.operators.ordering import reading_order
 from pagewright.sources.tables import materialised
 
@@ -27,7 +28,7 @@ def merge_boxes(a: DataFrame, b: DataFrame, page: list[str], width: Column, heig
     numbered = Window.partitionBy(*page).orderBy("from_b", seq)
     both = materialised(both.withColumn("_n", F.row_number().over(numbered)))
     order = reading_order(both, page, width, height, key="_n").select(*page, "_n", F.col("position").alias("_sorted"))
-    both = both.join(order, [*page, "_n"]).withColumn("_a", F.when(~F.col("from_b"), F.col("_n")))
+    both = on_page(both, order, [*page, "_n"]).withColumn("_a", F.when(~F.col("from_b"), F.col("_n")))
     return merge_order(both, page, "from_b", "_a", "_sorted", seq).drop("_n", "_a", "_sorted")
 
 

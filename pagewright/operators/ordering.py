@@ -2,8 +2,7 @@
 
 For each of a range of tilts the words spread a parabola of gain over the rows of pixels that they cover; the tilt with
 the sharpest profile wins, its local maxima are the lines, and each word goes to the nearest line. One kernel for a page
-works on arrays and runs where the rows lie after one exchange by page; the same algorithm as joins and aggregates
-is in relational_lines, for engines without Python.
+works on arrays and runs where the rows lie after one exchange by page.
 """
 
 from __future__ import annotations
@@ -17,13 +16,14 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
+from pagewright.operators.keys import on_page
 
 #: The largest tilt in degrees, the number of tilts, the least size of a page, words for a reliable median.
 MOST_TILT, TILTS, LEAST_SIDE, RELIABLE = 11, 21, 200, 10
 TILT_FRACTIONS = np.linspace(-np.tan(np.radians(MOST_TILT)), np.tan(np.radians(MOST_TILT)), TILTS)
 
 
-def measured(boxes: DataFrame, width: Column, height: Column, box: str = "box", exact_types: bool = False) -> DataFrame:
+def measured(boxes: DataFrame, width: Column, height: Column, box: str = "box") -> DataFrame:
     """Adds pixel measures of each box, its dominant character type and whether it is a word."""
     b = F.col(box)
     full = [F.greatest(F.lit(LEAST_SIDE), s).cast("double") for s in (width, height)]
@@ -35,7 +35,7 @@ def measured(boxes: DataFrame, width: Column, height: Column, box: str = "box",
     out = out.withColumn("bottom", F.greatest(F.col("top") + 1, full[1] * within("dy", "cy"))).withColumn("high", F.greatest(F.lit(1.0), F.col("bottom") - F.col("top")))
     out = out.withColumn("y", (F.col("top") + F.col("bottom")) / 2).withColumn("int_top", F.bround("top").cast("int"))
     out = out.withColumn("int_height", F.greatest(F.lit(1), F.bround("bottom").cast("int") - F.col("int_top")))
-    return out.withColumn("type", T.exact_box_type(text) if exact_types else T.latin_box_type(text)).withColumn("is_word", T.is_word(text))
+    return out.withColumn("type", T.box_type(text)).withColumn("is_word", T.is_word(text))
 
 
 def page_measures(words: DataFrame, page: list[str]) -> DataFrame:
@@ -77,7 +77,10 @@ def page_lines(x: np.ndarray, x_center: np.ndarray, y: np.ndarray, top: np.ndarr
     if not len(maxima):
         maxima = np.zeros(1, np.int64)
     tilted = y + x_center * TILT_FRACTIONS[best]
-    line = np.abs(tilted[:, None] - maxima[None]).argmin(1)
+    # the nearest of the two maxima around a word, the upper one if both are as near
+    below = np.searchsorted(maxima, tilted).clip(0, len(maxima) - 1)
+    above = np.maximum(below - 1, 0)
+    line = np.where(np.abs(tilted - maxima[above]) <= np.abs(tilted - maxima[below]), above, below)
     line = np.unique(line, return_inverse=True)[1]
     order = np.lexsort((np.arange(len(x)), -x if rtl else x, line))
     rank = np.empty(len(x), np.int64)
@@ -85,10 +88,10 @@ def page_lines(x: np.ndarray, x_center: np.ndarray, y: np.ndarray, top: np.ndarr
     return line, rank, best
 
 
-def reading_order(boxes: DataFrame, page: list[str], width: Column, height: Column, key: str = "box_id", exact_types: bool = False) -> DataFrame:
+def reading_order(boxes: DataFrame, page: list[str], width: Column, height: Column, key: str = "box_id") -> DataFrame:
     """Rows (page, key, line_id, position, tilt): the place of each box. key is the order of the boxes on the page."""
-    words = measured(boxes, width, height, exact_types=exact_types)
-    words = words.join(page_measures(words, page), page)
+    words = measured(boxes, width, height)
+    words = on_page(words, page_measures(words, page), page)
     fields = ["x", "x_center", "y", "int_top", "int_height", "wide"]
     schema = ", ".join([*(f"`{p}` {boxes.schema[p].dataType.simpleString()}" for p in page), f"`{key}` {boxes.schema[key].dataType.simpleString()}", "line_id int, position int, tilt int"])
     sorted_ = words.select(*page, key, *fields, "median_height", "rtl").repartition(*page).sortWithinPartitions(*page, key)
@@ -115,36 +118,27 @@ def reading_order(boxes: DataFrame, page: list[str], width: Column, height: Colu
                 change |= x[1:] != x[:-1]
             return np.concatenate([[0], np.flatnonzero(change) + 1, [t.num_rows]])
 
+        def ends(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+            """Whether the page at the end of a is not that at the start of b."""
+            return any(a.column(k)[a.num_rows - 1].as_py() != b.column(k)[0].as_py() for k in range(n))
+
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                t = pa.Table.from_batches(held).combine_chunks()
-                edges = cuts(t)
-                if len(edges) > 2:
-                    yield solved(t.slice(0, edges[-2]), edges[:-1])
-                held = t.slice(edges[-2]).to_batches()
+            if not batch.num_rows:
+                continue
+            edges = cuts(pa.Table.from_batches([batch]))
+            if held and (len(edges) > 2 or ends(held[-1], batch)):
+                # the page that is held ends here; its batches are put together once
+                whole = [*held, batch.slice(0, edges[1])] if not ends(held[-1], batch) else held
+                t = pa.Table.from_batches(whole).combine_chunks()
+                yield solved(t, cuts(t))
+                batch = batch.slice(edges[1]) if whole is not held else batch
+                held = []
+                edges = cuts(pa.Table.from_batches([batch]))
+            if len(edges) > 2:
+                yield solved(pa.Table.from_batches([batch.slice(0, edges[-2])]), edges[:-1])
+            held.append(batch.slice(edges[-2]))
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
             yield solved(t, cuts(t))
 
     return sorted_.mapInArrow(run, schema)
-
-
-def relational_lines(boxes: DataFrame, page: list[str], width: Column, height: Column) -> tuple[DataFrame, DataFrame]:
-    """(page, tilt, tilt_fraction) with the best tilt, and (page, lines) with the rows of its maxima, by joins and aggregates."""
-    words = measured(boxes, width, height)
-    words = words.join(page_measures(words, page), page)
-    weight = F.col("wide") * F.when(F.col("median_height").isNotNull(), F.least(F.lit(1.0), F.col("int_height") / F.col("median_height"))).otherwise(1.0)
-    tilts = F.posexplode(F.array(*[F.lit(float(t)) for t in TILT_FRACTIONS])).alias("tilt", "fraction")
-    spread = words.withColumn("weight", weight).select(*page, "int_top", "int_height", "weight", "x_center", tilts)
-    spread = spread.withColumn("row", F.col("int_top") + (F.col("fraction") * F.col("x_center")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("int_height"))))
-    half = F.col("int_height") / 2
-    gain = (1 - F.pow((F.col("k") - half) / F.greatest(F.lit(0.5), half), 2)) * F.col("weight")
-    gains = spread.groupBy(*page, "tilt", "fraction", (F.col("row") + F.col("k")).alias("row")).agg(F.sum(gain).alias("gain"))
-    score = gains.groupBy(*page, "tilt", "fraction").agg(F.sum(F.col("gain") * F.col("gain")).alias("score"))
-    best = score.groupBy(*page).agg(F.max(F.struct("score", (-F.col("tilt")).alias("n"), "fraction")).alias("b")).select(*page, (-F.col("b.n")).alias("tilt"), F.col("b.fraction").alias("tilt_fraction"))
-    profile = gains.join(best.select(*page, "tilt"), [*page, "tilt"]).groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("row", "gain"))).alias("g"))
-    at = lambda k: F.coalesce(F.try_element_at("g", k), F.lit(0.0))
-    maxima = F.filter(F.map_keys("g"), lambda r: (at(r - 1) <= at(r)) & (at(r + 1) < at(r)))
-    lines = profile.select(*page, F.when(F.size(maxima) > 0, F.array_sort(maxima)).otherwise(F.array(F.lit(0))).alias("lines"))
-    return best, lines

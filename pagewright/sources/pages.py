@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Fixed values of the tilt search.
-PIXELS, COARSE, HALF_GRID, ROUNDS, FEWEST, EXTRA = 500_000, 120, 20, 5, 100, 0.65
+#: Of the tilt search: pixels of the image that is searched, points of ink that are needed and that the scan projects, its
+#: step, how many of its angles are looked at closely, and how closely.
+PIXELS, FEWEST, SAMPLE, STEP, BEST, NEAR = 500_000, 100, 20_000, 0.25, 3, 0.01
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -89,65 +90,57 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows, 5)) + part(b"IEND", b"")
 
 
-def _contrast(image: np.ndarray) -> np.ndarray:
-    """Squared positive part of 16 times a pixel less its weighted surroundings (weight 1 next to it, 1/2 beyond)."""
-    h, w = image.shape
-    around = lambda r: sum(image[2 + y : h - 2 + y, 2 + x : w - 2 + x] for y in range(-r, r + 1) for x in range(-r, r + 1))
-    centre = image[2 : h - 2, 2 : w - 2]
-    return np.square(np.maximum(0, 16 * centre - 0.5 * around(2) - 0.5 * (around(1) - centre) + 0.5 * centre))
+def _ink(page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, weight) of what is darker than the page's mean. A point lies at a fixed pseudo-random place inside its pixel,
+    so that no angle is favoured by the pixels' grid."""
+    dark = 255.0 - page
+    y, x = np.nonzero(dark > dark.mean())
+    inside = np.random.default_rng(0).random((2, len(x)))
+    return x + inside[0] - page.shape[1] / 2, y + inside[1] - page.shape[0] / 2, dark[y, x]
 
 
-class _Projection:
-    """Sharpness of the projection of dark pixels on axes of any angle."""
-
-    def __init__(self, dark: np.ndarray, threshold: float, stretch: int, width: int, height: int, shift: float):
-        self.size = dark.shape
-        ys, xs = np.nonzero(dark > threshold)
-        self.y, self.x = stretch * (ys - dark.shape[0] / 2), stretch * (xs - dark.shape[1] / 2)
-        self.value, self.stretch, self.width, self.height, self.shift = dark[ys, xs].astype(np.float64), stretch, width, height, shift
-        self.radius = stretch * (int(np.hypot(width, height)) // 2 + 2)
-
-    def gain(self, angles: np.ndarray) -> np.ndarray:
-        out = np.empty(len(angles))
-        for k, a in enumerate(angles):
-            at = (np.cos(a + self.shift) * self.y + np.sin(a + self.shift) * self.x + self.radius).astype(np.int64)
-            sums = np.cumsum(np.bincount(at, self.value, minlength=2 * self.radius))
-            box = sums[self.stretch :] - sums[: -self.stretch]
-            out[k] = np.square(box - box.mean()).sum() * np.hypot(np.sin(a) * self.width, np.cos(a) * self.height)
-        return out
+def _edges(x: np.ndarray, y: np.ndarray, weight: np.ndarray, degrees: float) -> float:
+    """How sharply ink begins and ends across lines of this tilt: squared steps of the profile of rows."""
+    a = np.radians(degrees)
+    row = (y * np.cos(a) + x * np.sin(a)).astype(np.int64)
+    return float(np.square(np.diff(np.bincount(row - row.min() + 1, weight))).sum())
+
+
+def _sharpest(sharpness: Callable[[float], float], low: float, high: float, near: float) -> tuple[float, float]:
+    """(value, place) of the maximum between low and high, by golden sections."""
+    ratio = (5**0.5 - 1) / 2
+    p, q = high - ratio * (high - low), low + ratio * (high - low)
+    at_p, at_q = sharpness(p), sharpness(q)
+    while high - low > near:
+        if at_p >= at_q:
+            high, q, at_q = q, p, at_p
+            p = high - ratio * (high - low)
+            at_p = sharpness(p)
+        else:
+            low, p, at_p = p, q, at_q
+            q = low + ratio * (high - low)
+            at_q = sharpness(q)
+    return max((at_p, p), (at_q, q))
 
 
 def find_tilt(image: np.ndarray) -> float:
-    """Tilt of the lines of a page in degrees, from -90 to 90: a coarse scan, then grids around the best that halve."""
+    """Tilt of the lines of a page in degrees, from -90 to 90; 0 where there is too little ink to tell.
+
+    Some of the ink is projected at every STEP degrees; around the best few angles all of it is, by golden sections.
+    """
     page = grey(image)
     h, w = page.shape
-    factor = min(1.0, (PIXELS / (w * h)) ** 0.5)
-    if factor < 1:
-        page = resized(page, int(w * factor), int(h * factor))
-    if min(page.shape) < 6:
-        return 0.0
-    dark = _contrast(1 - page / 255)
-    height, width = dark.shape
-    stretch, threshold = int(4 / factor + 0.5), float(dark.mean())
-    scan = _Projection(rotated(dark, np.degrees(EXTRA), 0), threshold, stretch, width, height, EXTRA)
-    if len(scan.value) < FEWEST:
+    if h * w > PIXELS:
+        factor = (PIXELS / (w * h)) ** 0.5
+        page = resized(page, max(1, int(w * factor)), max(1, int(h * factor)))
+    x, y, weight = _ink(page)
+    if len(x) < FEWEST:
         return 0.0
-    angles = np.arange(COARSE) * np.pi / COARSE - np.pi / 2
-    best = angles[np.argmax(scan.gain(angles))]
-    if abs(EXTRA - best) < EXTRA / 3:
-        scan = _Projection(dark, threshold, stretch, width, height, 0.0)
-    step = 2 * np.pi / COARSE / HALF_GRID
-    grid = np.arange(-HALF_GRID, HALF_GRID + 1)
-    tested, gains = best + step * grid, None
-    seen_angles, seen_gains = np.empty(0), np.empty(0)
-    odd = step * grid[grid % 2 == 1]
-    for _ in range(ROUNDS):
-        gains = scan.gain(tested)
-        seen_angles, seen_gains = np.concatenate([seen_angles, tested]), np.concatenate([seen_gains, gains])
-        best = seen_angles[np.argmax(seen_gains)]
-        odd = odd / 2
-        tested = best + odd
-    return float((np.degrees(best) + 90) % 180 - 90)
+    some = np.random.default_rng(1).permutation(len(x))[:SAMPLE]
+    angles = np.arange(-90, 90, STEP)
+    scan = np.array([_edges(x[some], y[some], weight[some], a) for a in angles])
+    best = max(_sharpest(lambda a: _edges(x, y, weight, a), angles[k] - STEP, angles[k] + STEP, NEAR) for k in np.argsort(scan)[-BEST:])
+    return float((best[1] + 90) % 180 - 90)
 
 
 @F.pandas_udf(DoubleType())

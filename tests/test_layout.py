@@ -46,8 +46,11 @@ def test_angles(spark):
 def test_text(spark):
     assert values(spark, "string", ["123-4323/77", "abc", "12", "", "a1b22c"], T.flipped_number_blocks) == ["77-4323/123", "abc", "12", "", "a22b1c"]
     assert values(spark, "string", ["a=b", "a=b,c=d", ""], T.override_map) == [{"a": "b"}, {"a": "b", "c": "d"}, {}]
-    texts = ["1", "Wort", "שלום", "%", "-", "", "٣", "a1"]
-    assert values(spark, "string", texts, T.exact_box_type) == values(spark, "string", texts, T.latin_box_type)
+    texts = ["1", "Wort", "שלום", "%", "-", "", "٣", "a1", "日本", "²", "१", "é", "±", "ʰ1", "½", "𐤀", "۴", "①", "\u0301", "a" * 5 + "ש"]
+    import unicodedata
+
+    want = [min((T.BIDI_CODES.get(unicodedata.bidirectional(c), 5) for c in t), default=0) for t in texts]
+    assert values(spark, "string", texts, T.box_type) == want
 
 
 @pytest.mark.parametrize("text", ["01/02/2020 - 03/04/2021", "1/2/2020-3/4/2021", " 01.02.2020 - 03.04.2021 ", "01 / 02 / 2020 - 03 / 04 / 2021"])
