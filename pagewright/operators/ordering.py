@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,9 @@ def reading_order(boxes: DataFrame, page: list[str], width: Column, height: Colu
         def cuts(t: pa.Table) -> np.ndarray:
             change = np.zeros(max(0, t.num_rows - 1), bool)
             for k in range(n):
-                x = t.column(k).to_numpy(zero_copy_only=False) if isinstance(t.column(k), pa.Array) else t.column(k).to_numpy()
-                change |= x[1:] != x[:-1]
+                x, y = t.column(k).slice(1), t.column(k).slice(0, t.num_rows - 1)
+                unequal = pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False) if t.num_rows > 1 else change
+                change |= unequal | (np.asarray(x.is_null()) != np.asarray(y.is_null()))  # nulls are equal
             return np.concatenate([[0], np.flatnonzero(change) + 1, [t.num_rows]])
 
         def ends(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:

@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from pagewright.functions import angles
 from pagewright.functions import geometry as G
@@ -803,15 +803,57 @@ def tilt_angle(spark, sf_dir):
     return drawn.select(*PAGE, angle.alias("angle"), (F.abs(_found_tilt("rects", angle) - angle) <= 0.1).alias("near"), "lines").select(*PAGE, "angle", F.when(F.col("lines") >= 8, F.col("near")).alias("near"))
 
 
-def _drawn_tilt(rects, degrees: float) -> float:
+@query(f"WITH {BOXES_SQL} SELECT doc_id, page_no, (doc_id % 13 - 6) / 2.0::DOUBLE AS angle, CASE WHEN count(DISTINCT line_no) >= 8 THEN true END AS upright FROM boxes GROUP BY ALL")
+def corrected_tilt(spark, sf_dir):
+    """The same pages turned upright: whether the tilt that is left is at most 0.2, on pages of eight lines or more."""
+    b = boxes(spark, sf_dir)
+    px = lambda c, s: (F.col("box")[c] * s).cast("int")
+    rects = F.collect_list(F.array(px("ax", WIDTH), px("ay", HEIGHT), px("cx", WIDTH), px("cy", HEIGHT)))
+    drawn = b.groupBy(*PAGE).agg(rects.alias("rects"), F.countDistinct("line_no").alias("lines"))
+    angle = (F.col("doc_id") % 13 - 6).cast("double") / 2
+    pages = drawn.withColumn("angle", angle).withColumn("page", _tilted_page("rects", "angle")).select(*PAGE, "angle", "lines", "page.*")
+    left = P.tilt_angle("pixels", "width", "height", "channels")
+    up = P.correct_tilt(pages).select(*PAGE, "angle", "lines", left.alias("left"))
+    return up.select(*PAGE, "angle", F.when(F.col("lines") >= 8, F.abs("left") <= 0.2).alias("upright"))
+
+
+@query(
+    f"""WITH {BOXES_SQL}, p AS (SELECT DISTINCT doc_id, page_no, line_no, unnest(generate_series(CAST(x0 * 1024 AS INTEGER), CAST(least(x1 * 1024, 1024) AS INTEGER) - 1)) AS x FROM boxes)
+SELECT doc_id, page_no, 4 * count(*) AS n_blue FROM p GROUP BY ALL"""
+)
+def drawn_boxes(spark, sf_dir):
+    """Boxes drawn as opaque areas on white pages, and the pixels that they cover."""
+    b = boxes(spark, sf_dir)
+    white = b.select(*PAGE).distinct().select(*PAGE, F.lit(bytes([255]) * (WIDTH * HEIGHT)).alias("pixels"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(1).alias("channels"))
+    out = P.draw_boxes(white, b, PAGE, stroke=None, fill="#0000ff", opacity=1.0)
+    return out.select(*PAGE, _blue_pixels("pixels").alias("n_blue"))
+
+
+@F.pandas_udf(LongType())
+def _blue_pixels(pixels: pd.Series) -> pd.Series:
+    import numpy as np
+
+    return pd.Series([int((np.frombuffer(p, np.uint8).reshape(-1, 3) == [255, 0, 0]).all(1).sum()) for p in pixels], dtype="int64")
+
+
+def _tilted(rects, degrees: float):
     import numpy as np
 
     page = np.full((HEIGHT + 64, WIDTH + 64), 255, np.uint8)
     for x0, y0, x1, y1 in rects:
         page[32 + y0 : 32 + y1, 32 + x0 : 32 + x1] = 0
-    return P.find_tilt(P.rotated(page, degrees))
+    return P.rotated(page, degrees)
+
+
+_IMAGE = StructType([StructField("pixels", BinaryType()), *[StructField(c, IntegerType()) for c in ("width", "height", "channels")]])
+
+
+@F.pandas_udf(_IMAGE)
+def _tilted_page(rects: pd.Series, degrees: pd.Series) -> pd.DataFrame:
+    pages = [_tilted(r, d) for r, d in zip(rects, degrees)]
+    return pd.DataFrame({"pixels": [p.tobytes() for p in pages], "width": [p.shape[1] for p in pages], "height": [p.shape[0] for p in pages], "channels": [1] * len(pages)})
 
 
 @F.pandas_udf(DoubleType())
 def _found_tilt(rects: pd.Series, degrees: pd.Series) -> pd.Series:
-    return pd.Series([_drawn_tilt(r, d) for r, d in zip(rects, degrees)], dtype="float64")
+    return pd.Series([P.find_tilt(_tilted(r, d)) for r, d in zip(rects, degrees)], dtype="float64")

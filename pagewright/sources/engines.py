@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pagewright.sources import responses
+from pagewright.sources.cache import cached
 
 
 class UnknownSource(ValueError):
@@ -47,6 +48,23 @@ class Retry:
         raise AssertionError
 
 
+@dataclass(frozen=True)
+class Poll:
+    """Asks for the result of a started request until it is there; found tells whether it is, an error comes after too long."""
+
+    delay: float = 0.1
+    longest: float = 120.0
+
+    def __call__(self, ask: Callable[[], object], found: Callable[[object], bool], sleep: Callable[[float], None] = time.sleep) -> object:
+        waited = 0.0
+        while not found(answer := ask()):
+            if waited >= self.longest:
+                raise TimeoutError(f"no result after {waited:.1f} s")
+            sleep(self.delay)
+            waited += self.delay
+        return answer
+
+
 @dataclass(frozen=True)
 class Source:
     """What is fixed for a kind of source."""
@@ -109,6 +127,11 @@ def setting(given: str | None, env: str, file: dict[str, str] | None = None, key
     return found
 
 
+def recognise_cached(pages: DataFrame, source: str, client: Callable[[], Callable[[bytes], object]], path: str | None, options: str = "") -> DataFrame:
+    """As recognise, but only for pages that the table at path does not hold for this source and these options yet."""
+    return cached(pages.sparkSession, pages, source, lambda missing: recognise(missing, source, client), path, options)
+
+
 def recognise(pages: DataFrame, source: str, client: Callable[[], Callable[[bytes], object]], content: str = "content") -> DataFrame:
     """pages with a column response of the source's schema: client() is made once for each partition and called, again
     after errors, for each page. Its result is the response as JSON text or as plain lists and dicts."""

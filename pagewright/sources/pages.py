@@ -13,7 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
+
+from pagewright.functions import geometry as G
+from pagewright.functions.angles import sample_size
+from pagewright.operators.keys import on_page
 
 #: Of the tilt search: pixels of the image that is searched, points of ink that are needed and that the scan projects, its
 #: step, how many of its angles are looked at closely, and how closely.
@@ -76,6 +80,68 @@ def rotated(image: np.ndarray, degrees: float, fill: float = 255) -> np.ndarray:
     return out
 
 
+def at_least(width: int, height: int, least: int) -> tuple[int, int]:
+    """A size whose smaller side is `least` or more, in the same proportion; the other side is cut to an integer."""
+    small = min(width, height)
+    return (width, height) if small >= least else (width * least // small, height * least // small)
+
+
+def drawn(image: np.ndarray, quads: list[list[float]], stroke: str | None = "#0000ff", width: int = 3, fill: str | None = None, opacity: float = 0.0) -> np.ndarray:
+    """A copy of an image (grey or blue, green, red) in colours, with quadrilaterals of eight pixel coordinates drawn on it.
+
+    What is inside by its centre is filled, what is within half the width of an edge belongs to the stroke; colours are
+    #rrggbb, and a colour that is null, or a fill of less than a hundredth, is not drawn. Later ones lie above earlier ones.
+    """
+    colour = lambda c: np.array([int(c[k : k + 2], 16) for k in (5, 3, 1)], np.float64)
+    out = np.repeat(image.reshape(*image.shape[:2], -1)[..., :1], 3, axis=2) if image.ndim == 2 or image.shape[2] == 1 else image[..., :3].copy()
+    for quad in quads:
+        p = np.asarray(quad, float).reshape(4, 2)
+        if not stroke and len(np.unique(p[:, 0])) == len(np.unique(p[:, 1])) == 2 and (p[0] != p[2]).all():  # upright, so its pixels are a slice
+            (x0, y0), (x1, y1) = (np.maximum(np.ceil(e - 0.5).astype(int), 0) for e in (p.min(0), p.max(0)))
+            if fill and opacity >= 0.01:
+                out[y0:y1, x0:x1] = np.round(out[y0:y1, x0:x1] * (1 - opacity) + colour(fill) * opacity).astype(np.uint8)
+            continue
+        margin = width / 2 + 1
+        x0, y0 = np.maximum(np.floor(p.min(0) - margin).astype(int), 0)
+        x1, y1 = np.minimum(np.ceil(p.max(0) + margin).astype(int), [out.shape[1], out.shape[0]])
+        if x0 >= x1 or y0 >= y1:
+            continue
+        x, y = np.meshgrid(np.arange(x0, x1) + 0.5, np.arange(y0, y1) + 0.5)
+        inside, away = np.zeros(x.shape, bool), np.full(x.shape, np.inf)
+        for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0)):
+            crosses = (ay > y) != (by > y)
+            if ay != by:
+                inside ^= crosses & (x < ax + (y - ay) * (bx - ax) / (by - ay))
+            long = max((bx - ax) ** 2 + (by - ay) ** 2, 1e-12)
+            t = np.clip(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / long, 0, 1)
+            away = np.minimum(away, np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        part = out[y0:y1, x0:x1]
+        if fill and opacity >= 0.01:
+            part[inside] = np.round(part[inside] * (1 - opacity) + colour(fill) * opacity).astype(np.uint8)
+        if stroke and width > 0:
+            part[away <= width / 2] = colour(stroke).astype(np.uint8)
+    return out
+
+
+def draw_boxes(pages: DataFrame, boxes: DataFrame, page: list[str], box: str = "box", stroke: str | None = "#0000ff", width: int = 3, fill: str | None = None, opacity: float = 0.0) -> DataFrame:
+    """pages (pixels, width, height, channels) with their boxes drawn on, in colours. Labels and texts are not drawn.
+
+    The boxes of a page come together as one array; a page without boxes stays, in colours.
+    """
+    quads = boxes.groupBy(*page).agg(F.collect_list(F.struct(F.col(box)["in_pixels"].alias("px"), G.floats(F.col(box)).alias("at"))).alias("_quads"))
+    both = on_page(pages, quads, page, "left")
+
+    @F.pandas_udf(BinaryType())
+    def run(pixels: pd.Series, widths: pd.Series, heights: pd.Series, channels: pd.Series, quads: pd.Series) -> pd.Series:
+        out = []
+        for p, w, h, c, qs in zip(pixels, widths, heights, channels, quads):
+            at = [np.asarray(q["at"]) * (1 if q["px"] else np.array([w, h] * 4)) for q in (qs if qs is not None else ())]
+            out.append(drawn(as_array(p, w, h, c), at, stroke, width, fill, opacity).tobytes())
+        return pd.Series(out, dtype=object)
+
+    return both.withColumn("pixels", run("pixels", "width", "height", "channels", "_quads")).withColumn("channels", F.lit(3)).drop("_quads")
+
+
 def whitened(image: np.ndarray, share: float) -> np.ndarray:
     return (image * (1 - share) + 255 * share).astype(np.uint8)
 
@@ -150,6 +216,47 @@ def tilt_angle(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Serie
         yield pd.Series([find_tilt(as_array(p, w, h, c)) for p, w, h, c in zip(pixels, widths, heights, channels)], dtype="float64")
 
 
+def corrected(image: np.ndarray, most: float = 10.0, least: float = 0.0) -> tuple[np.ndarray, float]:
+    """(the image turned upright, its tilt against the nearest right angle). A tilt of `most` or more is taken as none, one
+    of at most `least` is told but not turned. What comes into view is white, and the page grows to hold all of it."""
+    found = find_tilt(image)
+    tilt = found - 90 * float(np.round(found / 90))
+    tilt = 0.0 if abs(tilt) >= most else tilt
+    return (rotated(image, -tilt) if abs(tilt) > least else image), tilt
+
+
+_UPRIGHT = "pixels binary, width int, height int, tilt double"
+
+
+def correct_tilt(pages: DataFrame, most: float = 10.0, least: float = 0.0) -> DataFrame:
+    """pages (pixels, width, height, channels) turned upright, with a column tilt."""
+
+    @F.pandas_udf(_UPRIGHT)
+    def run(pixels: pd.Series, widths: pd.Series, heights: pd.Series, channels: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, w, h, c in zip(pixels, widths, heights, channels):
+            image, tilt = corrected(as_array(p, w, h, c), most, least)
+            rows.append((np.ascontiguousarray(image).tobytes(), image.shape[1], image.shape[0], tilt))
+        return pd.DataFrame(rows, columns=["pixels", "width", "height", "tilt"])
+
+    turned = pages.withColumn("_up", run("pixels", "width", "height", "channels"))
+    return turned.withColumns({c: F.col("_up")[c] for c in ("pixels", "width", "height", "tilt")}).drop("_up")
+
+
+def sample_pages(pages: DataFrame, samples: int, k: float = 0.2) -> DataFrame:
+    """Each page `samples` times (sample_id from 0), each time smaller: what several readings of one page are taken from."""
+    width, height = sample_size(F.col("width"), F.col("height"), F.col("sample_id"), k)
+    out = pages.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumns({"_w": width, "_h": height})
+
+    @F.pandas_udf(BinaryType())
+    def run(pixels: pd.Series, widths: pd.Series, heights: pd.Series, channels: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        sized = zip(pixels, widths, heights, channels, w, h)
+        return pd.Series([resized(as_array(p, a, b, c), x, y).tobytes() for p, a, b, c, x, y in sized], dtype=object)
+
+    smaller = out.withColumn("pixels", run("pixels", "width", "height", "channels", "_w", "_h"))
+    return smaller.withColumns({"width": F.col("_w"), "height": F.col("_h")}).drop("_w", "_h")
+
+
 def paddle_size(width: Column, height: Column, most: tuple[int, int] = (1700, 2338)) -> tuple[Column, Column, Column]:
     """Width, height and the ratio to scale back by: shrunk where a side is above the largest known to work."""
     ratio = F.greatest(width / most[0], height / most[1])

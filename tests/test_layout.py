@@ -15,7 +15,7 @@ from pagewright.sources import cache, engines
 from pagewright.sources import pages as P
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["box_canonical_corners", "box_rotate", "box_split", "labelstudio_import_pivot", "engine_anti_join", "sample_claim_groups", "merge_order", "reading_order", "median_height_filter", "date_range_split", "date_run_filter", "bidi_fix", "label_palette", "brightness_hex", "tilt_distance", "response_flatten_tree", "rotation_from_deltas", "response_flatten_marks", "cache_hits_and_misses"]
+CHECKED = ["box_canonical_corners", "box_rotate", "box_split", "labelstudio_import_pivot", "engine_anti_join", "sample_claim_groups", "merge_order", "reading_order", "median_height_filter", "date_range_split", "date_run_filter", "bidi_fix", "label_palette", "brightness_hex", "tilt_distance", "response_flatten_tree", "rotation_from_deltas", "response_flatten_marks", "cache_hits_and_misses", "two_source_merge", "single_source_page", "add_missing_boxes", "group_overlaps", "quad_overlap_share", "box_augment", "writing_direction", "reading_order_both_ways", "median_char_width", "corrected_tilt", "tilt_angle", "drawn_boxes"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -179,3 +179,92 @@ def test_images(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"none")
     rows = P.read_images(spark, f"file://{tmp_path}").collect()
     assert len(rows) == 1 and (P.grey(P.as_array(rows[0].pixels, rows[0].width, rows[0].height, rows[0].channels)) == page_).all()
+
+
+def test_drawing():
+    white = np.full((40, 60), 255, np.uint8)
+    out = P.drawn(white, [[10, 10, 30, 10, 30, 20, 10, 20]], stroke="#ff0000", width=2, fill="#0000ff", opacity=0.5)
+    assert out.shape == (40, 60, 3) and (white == 255).all()
+    assert out[15, 20].tolist() == [255, 128, 128] and out[10, 20].tolist() == [0, 0, 255] and out[25, 20].tolist() == [255] * 3
+    assert (P.drawn(white, [[-5, -5, 5, -5, 5, 5, -5, 5]], stroke=None, fill="#000000", opacity=1)[:5, :5] == 0).all()
+    assert (P.drawn(out, [], None) == out).all()
+
+
+@pytest.mark.parametrize("degrees", [0.0, 0.7, 1.9, 3.3, 4.6, 6.0, 7.7, 9.0, -2.2])
+def test_tilt_is_found_and_corrected(degrees):
+    rng = np.random.default_rng(2)
+    page_ = np.full((900, 700), 255, np.uint8)
+    for y in range(60, 840, 24):
+        x = 50
+        while x < 600:
+            n = int(rng.integers(2, 9)) * 7
+            page_[y : y + 9, x : x + n] = 0
+            x += n + 9
+    image = P.rotated(page_, degrees)
+    assert P.find_tilt(image) == pytest.approx(degrees, abs=0.1)
+    up, tilt = P.corrected(image)
+    assert tilt == pytest.approx(degrees, abs=0.1) and abs(P.find_tilt(up)) <= 0.2  # the nearest pixel moves lines by up to one
+    assert P.corrected(P.rotated(page_, 12.0))[1] == 0
+
+
+def test_image_kernels():
+    image = np.array([[0, 127, 128, 255]], np.uint8)
+    assert P.binarised(image).tolist() == [[0, 0, 255, 255]]
+    assert P.whitened(image, 0.5).tolist() == [[127, 191, 191, 255]]
+    assert P.at_least(100, 300, 150) == (150, 450) and P.at_least(100, 300, 50) == (100, 300)
+
+
+def test_samples_are_read_at_their_sizes(spark):
+    def client():
+        return lambda content: [{"quad": [[0, 0], [9, 0], [9, 5], [0, 5]], "text": str(len(content)), "score": 0.5}]
+
+    pages = spark.createDataFrame([(1, bytearray(b"x" * 1200), 40, 30, 1)], "p int, pixels binary, width int, height int, channels int")
+    readings = engines.recognise(P.sample_pages(pages, 2), "easyocr", client, content="pixels")
+    got = engines.SOURCES["easyocr"].flatten(readings, ["p", "sample_id"]).orderBy("sample_id").collect()
+    assert [r.box.text for r in got] == ["1200", str(33 * 25)]
+
+
+def test_settings_retries_and_polls(monkeypatch):
+    monkeypatch.setenv("SOME_KEY", "env")
+    assert engines.setting("given", "SOME_KEY") == "given" and engines.setting(None, "SOME_KEY", {"k": "file"}, "k") == "env"
+    monkeypatch.delenv("SOME_KEY")
+    assert engines.setting(None, "SOME_KEY", {"k": "file"}, "k") == "file"
+    with pytest.raises(ValueError):
+        engines.setting(None, "SOME_KEY")
+    answers, waits = iter([None, None, "done"]), []
+    assert engines.Poll()(lambda: next(answers), lambda a: a is not None, waits.append) == "done" and waits == [0.1, 0.1]
+    with pytest.raises(TimeoutError):
+        engines.Poll(1.0, 2.0)(lambda: None, lambda a: a is not None, waits.append)
+    monkeypatch.setenv(cache.ENV, "/c")
+    assert cache.cache_path() == "/c" and cache.cache_path("/d") == "/d" and cache.cache_path(cache.DISABLED) is None
+
+
+def test_options_are_checked():
+    assert pipeline.Options().for_source("google").max_size == 1024 and pipeline.Options().for_combined().max_size == engines.COMBINED_SIZE
+    with pytest.raises(ValueError):
+        pipeline.Options(checkboxes=True).for_source("google")
+    for wrong in ({"samples": 2}, {"auto_rotate": True}, {"correct_tilt": False}):
+        with pytest.raises(ValueError):
+            pipeline.Options(**wrong).for_combined()
+
+
+def test_null_pages_are_pages(spark):
+    df = page(spark, [(k, 0.1 * k, 0.1, 0.1 * k + 0.05, 0.15, 0) for k in range(6)]).withColumn("p", F.lit(None).cast("int"))
+    order = ordering.reading_order(df, ["p"], F.lit(1000), F.lit(1000))
+    assert [r.position for r in order.orderBy("box_id").collect()] == list(range(6))
+    assert cleaning.without_columns_of_digits(df, ["p"], F.lit(1.0)).count() == 6
+    assert samples.aggregate_samples(df, ["p"]).count() == 6
+    assert merging.merge_boxes(df.where("seq < 3").select("p", "seq", "box"), df.where("seq >= 3").select("p", "seq", "box"), ["p"], F.lit(1000), F.lit(1000)).count() == 6
+
+
+def test_a_long_line_takes_time_in_proportion(spark):
+    import time
+
+    from pagewright.plans import layout
+
+    docs = spark.createDataFrame([(1, "ab " * 200_000, "en"), (2, None, "en"), (3, "", "en"), (4, "a  b\n c", "en")], "doc_id long, text string, lang string")
+    began = time.time()
+    rows = layout.words(docs)
+    assert rows.where("doc_id = 1").agg(F.max("off"), F.count("*")).first()[:] == (3 * 199_999, 200_000)
+    assert time.time() - began < 20
+    assert [(r.line_no, r.word_no, r.text, r.off) for r in rows.where("doc_id > 1").orderBy("line_no", "word_no").collect()] == [(0, 0, "a", 0), (0, 2, "b", 2), (1, 1, "c", 0)]
