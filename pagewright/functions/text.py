@@ -47,26 +47,36 @@ def is_word(text: Column) -> Column:
     return text.rlike(r"^\p{L}{2,}$")
 
 
+#: Parts of Unicode in which nearly all texts lie, so that their character classes are short: Latin, Greek to Arabic,
+#: punctuation, currencies, Kana, Han, Hangul.
+COMMON = ((0x0, 0x24F), (0x370, 0x6FF), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def _class(ranges: list[tuple[int, int]], negated: bool = False) -> str:
+    return ("[^" if negated else "[") + "".join(rf"\x{{{a:X}}}-\x{{{z:X}}}" for a, z in ranges) + "]"
+
+
 @cache
-def bidi_ranges() -> dict[int, str]:
+def bidi_ranges(within: tuple[tuple[int, int], ...] = ((0, 0x10FFFF),)) -> dict[int, str]:
     """For each code but the last, the characters that have it, as a character class; from the Unicode database."""
-    codes = np.array([BIDI_CODES.get(unicodedata.bidirectional(chr(c)), 5) for c in range(0x110000)])
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]])
-    out: dict[int, str] = {}
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if codes[a] < 5:
-            out[int(codes[a])] = out.get(int(codes[a]), "") + rf"\x{{{a:X}}}-\x{{{z - 1:X}}}"
-    return {code: f"[{ranges}]" for code, ranges in sorted(out.items())}
+    out: dict[int, list[tuple[int, int]]] = {}
+    for low, high in within:
+        codes = np.array([BIDI_CODES.get(unicodedata.bidirectional(chr(c)), 5) for c in range(low, high + 1)])
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]])
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if codes[a] < 5:
+                out.setdefault(int(codes[a]), []).append((low + a, low + z - 1))
+    return {code: _class(ranges) for code, ranges in sorted(out.items())}
 
 
 def box_type(text: Column) -> Column:
     """The dominant bidirectional class of a text, by the Unicode database; that of an empty text is 0.
 
-    Texts of ASCII characters, of which letters, digits and # $ % have a class, need no long character class.
+    Only a text with a character outside the common parts needs the long character classes.
     """
-    ascii_ = F.when(text.rlike("[A-Za-z]"), 0).when(text.rlike("[0-9]"), 2).when(text.rlike("[#$%]"), 4).otherwise(5)
-    others = F.coalesce(*[F.when(text.rlike(ranges), code) for code, ranges in bidi_ranges().items()], F.lit(5))
-    return F.when(text == "", 0).when(text.rlike(r"^[\x00-\x7F]*$"), ascii_).otherwise(others)
+    first = lambda classes: F.coalesce(*[F.when(text.rlike(c), code) for code, c in classes.items()], F.lit(5))
+    ascii_ = first({0: "[A-Za-z]", 2: "[0-9]", 4: "[#$%]"})
+    return F.when(text == "", 0).when(text.rlike(r"^[\x00-\x7F]*$"), ascii_).when(text.rlike(_class(list(COMMON), True)), first(bidi_ranges())).otherwise(first(bidi_ranges(COMMON)))
 
 
 def barcode_text(kind: Column, data: Column) -> Column:
