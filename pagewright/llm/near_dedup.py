@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, arrow_batches, connected_components, mix, pieces, release_memory, sent_if_small, shingles, word_hashes
+from .shared import OWN, Workspace, arrow_batches, connected_components, mix, pieces, release_memory, sent_if_small, shingles, word_hashes
 
 TOKENS = 64
 TREES = 16
@@ -563,10 +563,11 @@ def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "d
     Of repeated rows (equal ids and texts) one stays, without regard to other columns. Documents without words stay.
     """
     found = NearDuplicates(docs, percent, size, id_col, text_col).run()
-    # verdicts that change something
-    verdicts = found.groupBy("doc", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select(F.col("doc").alias("_d"), F.col("h").alias("_h"), "kept", "n")
+    # verdicts that change something, under names that docs does not have
+    d, h, kept, n = (f"{OWN}{c}" for c in ("doc", "hash", "kept", "n"))
+    verdicts = found.groupBy(F.col("doc").alias(d), F.col("h").alias(h)).agg(F.max("kept").alias(kept), F.count("*").alias(n)).where(f"not {kept} or {n} > 1")
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     verdicts = Workspace(docs.sparkSession, "verdicts").table(verdicts)
-    judged = docs.join(sent_if_small(verdicts), F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_h")), "left").where("kept is null or kept")
-    once = judged.where("n is null").select(docs.columns)
-    return once.unionByName(judged.where("n > 1").dropDuplicates(["_d", "_h"]).select(docs.columns))
+    judged = docs.join(sent_if_small(verdicts), F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (key == F.col(h)), "left").where(f"{kept} is null or {kept}")
+    once = judged.where(f"{n} is null").select(docs.columns)
+    return once.unionByName(judged.where(f"{n} > 1").dropDuplicates([d, h]).select(docs.columns))

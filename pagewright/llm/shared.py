@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Begins the names of columns that operators put beside those of a caller's table.
+OWN = "_pagewright_"
+
 # ---------------------------------------------------------------- tables in the shared folder
 
 

@@ -362,7 +362,9 @@ def toxic_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
 
 def without_toxic(docs: DataFrame, field: Field, limit: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below limit, unchanged. A null or empty text is scored as one without words."""
+    """The rows of docs whose text scores below limit, unchanged. A null or empty text is scored as one without words.
+
+    Repeated rows are judged alike; other columns play no part."""
     sent, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

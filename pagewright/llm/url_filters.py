@@ -73,7 +73,8 @@ def _fitting(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """Rows (id, host, path, rule, verdict, because), one for each row of pages.
 
-    rules are (allow or block, host, path prefix). redirects has columns from_url and to_url; canonical links and
+    rules are (allow or block, host, path prefix); of equally long rules that fit, allow comes before block, and then the
+    smaller host and path. Repeated rows and long urls are judged like all others. redirects has columns from_url and to_url; canonical links and
     refreshes inside html_col are edges as well. because is rule, alias or default. A null url has an empty host and
     path, no rule and no aliases, and is allowed. Components grow in the shared folder (see connected_components); the
     blocked ones are joined by key, which adaptive execution splits where one is hot.
