@@ -432,8 +432,9 @@ class NearDuplicates:
         done = None
         for level in range(LEVELS):
             p = f"p{level}"
-            sizes = left.groupBy(p).agg(F.count("*").alias("size")).where("size > 1")
-            left = self.ws.table(left.join(sizes, p).select("key", "size", *[f"p{k}" for k in range(level, LEVELS)]))
+            # written, so that adaptive execution can split a hot node
+            sizes = self.ws.table(left.groupBy(p).agg(F.count("*").alias("size")).where("size > 1"))
+            left = self.ws.table(left.join(sent_if_small(sizes), p).select("key", "size", *[f"p{k}" for k in range(level, LEVELS)]))
             ends = F.lit(True) if level == LEVELS - 1 else F.col("size") <= NODE
             found = left.where(ends).select(F.col(p).alias("leaf"), "size", "key")
             done = found if done is None else done.unionByName(found)
