@@ -512,7 +512,7 @@ class NearDuplicates:
         """Rows (doc, h, n_shingles, component_id, kept); h is the hash of the text."""
         ends = lambda roots: roots.select(F.col("node").alias("a"), F.col("component").alias("b"))
         components = lambda edges: self.ws.table(connected_components(self.spark, edges, self.ws))
-        with arrow_batches(self.spark, 2000):
+        with arrow_batches(self.spark, 500):
             self.sketched()
             leaves = self.leaves()
             clusters = components(self.ws.table(self.forest(leaves)))
