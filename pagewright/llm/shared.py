@@ -193,14 +193,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers that a worker keeps; those for longer texts are made when they are needed.
+_KEPT = 1 << 20
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
+    made = _POW
+    if len(made[0]) < n:
         m = max(n, 1 << 16)
-        for k, p in enumerate((_P, _PI)):
-            x = np.full(m, p, np.uint64)
+        made = [np.full(m, p, np.uint64) for p in (_P, _PI)]
+        for x in made:
             x[0] = 1
-            _POW[k] = np.multiply.accumulate(x)
-    return _POW[0][:n], _POW[1][:n]
+            np.multiply.accumulate(x, out=x)
+        if m <= _KEPT:
+            _POW[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def lower_table(is_word: np.ndarray) -> np.ndarray:

@@ -185,9 +185,15 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 20, n_field: int = FI
 
     The weights are fitted to the first n_field of either kind, the scores of documents to all.
     """
-    raw = [t.encode("utf-8") for t in texts]
-    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    f, _, _, bounds = features(np.frombuffer(b"".join(raw), np.uint8), off)
+    # a part at a time: features of all bytes at once would take many times their size
+    found = [np.empty((0, 1 + len(HEADS) + len(TAILS)), np.int32)]
+    counts = [np.zeros(1, np.int64)]
+    for _, data, off in pieces(iter([pa.record_batch([pa.array(texts, pa.string())], ["text"])]), "text"):
+        part, _, _, ends = features(data, off)
+        found.append(part)
+        counts.append(np.diff(ends))
+    f, bounds = np.concatenate(found), np.cumsum(np.concatenate(counts))
+    del found
     size = 1 << BUCKETS_BITS
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     prior = np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))])
