@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, pieces, word_hashes
+from .shared import Workspace, pieces, release_memory, word_hashes
 
 #: Digits, letters and everything that is not ASCII.
 WORD_BYTES = np.zeros(256, bool)
@@ -288,6 +288,7 @@ def remove_contamination(
             for batch in batches:
                 rows = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), pc.fill_null(batch.column(at), "")], ["id", "text"])
                 yield judged(batch, [x for part in stream(iter([rows])) for x in part.to_pylist()])
+            release_memory()
 
         return docs.mapInArrow(run, schema)
 

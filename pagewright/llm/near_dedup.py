@@ -114,6 +114,7 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = paths(sig).reshape(-1, LEVELS)
             keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), TREES)))
             yield pa.record_batch([keys, *[pa.array(p[:, k]) for k in range(LEVELS)]], ["key", *[f"p{k}" for k in range(LEVELS)]])
+    release_memory()
 
 
 def _branches_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +196,7 @@ def _forests(least: float):
                     a.append(keys[s + i])
                     b.append(keys[s + j])
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        release_memory()
 
     return run
 
@@ -271,6 +273,7 @@ def _crossing(least: float):
                     b.append(keys[j])
             if a:
                 yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        release_memory()
 
     return run
 

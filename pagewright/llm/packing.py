@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, release_memory
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, leftover boolean"
 FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -155,6 +155,7 @@ def _pack(pieces: Callable[[pa.RecordBatch], Iterator[tuple]], size: int, window
         for sequence in packer.close():
             put(sequence, not last and sum(len(p[2]) for p in sequence) < size)
         yield flush()
+        release_memory()
 
     return run
 

@@ -119,7 +119,8 @@ def sent_if_small(table: DataFrame) -> DataFrame:
 
 
 def release_memory() -> None:
-    """Gives freed memory back to the system, where the C library can: workers live on between stages."""
+    """Gives freed memory back to the system, Arrow's and where it can the C library's: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -363,6 +363,7 @@ def toxic_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
                 [part.column(0), pa.array(np.diff(bounds)), pa.array(score), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.array(high), pa.array(spans, pa.list_(span))],
                 ["id", "n_words", "score", "expected", "highest", "spans"],
             )
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
