@@ -25,12 +25,11 @@ def split_date_ranges(boxes: DataFrame, box: str = "box", seq: str = "seq") -> D
     first, rest = G.split(b, FIRST_DATE)
     hyphen, second = G.split(rest, HYPHEN)
     dates = F.split(b["text"], "-")
-    three = F.array(G.retext(first, T.stripped(dates[0])), G.retext(hyphen, F.lit("-")), G.retext(second, T.stripped(dates[1])))
+    three = F.array(G.retext(first, T.stripped(F.get(dates, F.lit(0)))), G.retext(hyphen, F.lit("-")), G.retext(second, T.stripped(F.get(dates, F.lit(1)))))
     whole = F.coalesce(b["text"].rlike(T.DATE_RANGE), F.lit(False))
     others = [c for c in boxes.columns if c != box]
-    # the pieces are built only behind the test, so that a text without hyphen is never indexed
-    pieces = boxes.where(whole).select(*others, F.posexplode(three).alias("part", box))
-    return boxes.where(~whole).withColumn("part", F.lit(0)).select(*others, "part", box).unionByName(pieces)
+    # one pass, so that what makes the boxes runs once
+    return boxes.select(*others, F.posexplode(F.when(whole, three).otherwise(F.array(b))).alias("part", box))
 
 
 def median_height(boxes: DataFrame, page: list[str], box: str = "box") -> DataFrame:
