@@ -17,6 +17,7 @@ FIRST_DATE, HYPHEN = 0.49, 0.07
 TALL = 1.05
 LONGEST_RUN = 10
 RANGE_RUN = r"^\d{1,2}/\d{1,2}/\d{4}-\d{1,2}/\d{1,2}/\d{4}$"
+_DATED = re.compile(RANGE_RUN, re.ASCII)
 
 
 def split_date_ranges(boxes: DataFrame, box: str = "box", seq: str = "seq") -> DataFrame:
@@ -59,32 +60,38 @@ def date_run_candidates(boxes: DataFrame, page: list[str], box: str = "box", seq
 def without_date_runs(boxes: DataFrame, page: list[str], box: str = "box", seq: str = "seq", longest: int = LONGEST_RUN) -> DataFrame:
     """Removes runs of boxes that together read as a date range: the longest first, then the leftmost, until none is left.
 
-    Only pages that have a candidate go through the sequential step.
+    The texts of a page that could hold a run come together as one array, and the sequential step sees many such pages at
+    once; what it gives are places.
     """
-    dated = re.compile(RANGE_RUN)
-    candidates = date_run_candidates(boxes, page, box, seq, longest).select(*page).distinct()
-
-    def doomed(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("_seq")
-        left = list(zip(rows["_seq"], (t.replace(" ", "") if isinstance(t, str) else "" for t in rows["_text"])))
-        gone: list = []
-
-        def one_run() -> bool:
-            for n in range(min(longest, len(left)), 1, -1):
-                for at in range(len(left) - n + 1):
-                    if dated.match("".join(t for _, t in left[at : at + n])):
-                        gone.extend(s for s, _ in left[at : at + n])
-                        del left[at : at + n]
-                        return True
-            return False
-
-        while one_run():
-            pass
-        return pd.DataFrame({**{p: [rows[p].iloc[0]] * len(gone) for p in page}, seq: gone})
-
-    schema = ", ".join(f"`{c}` {boxes.schema[c].dataType.simpleString()}" for c in [*page, seq])
-    words = on_page(boxes, candidates, page, "left_semi").select(*page, F.col(seq).alias("_seq"), F.col(box)["text"].alias("_text"))
-    return on_page(boxes, words.groupBy(*page).applyInPandas(doomed, schema), [*page, seq], "left_anti")
+    text = F.regexp_replace(F.coalesce(F.col(box)["text"], F.lit("")), " ", "")
+    pages = boxes.select(*page, F.struct(F.col(seq).alias("s"), text.alias("t")).alias("w")).groupBy(*page).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    texts = F.transform("w", lambda w: w["t"])
+    dated = pages.where(F.array_join(texts, "").rlike(RANGE_RUN.strip("^$")))
+
+    @F.pandas_udf("array<int>")
+    def doomed(pages: pd.Series) -> pd.Series:
+        return pd.Series([date_run_places(list(t), longest) for t in pages], dtype=object)
+
+    gone = dated.select(*page, "w", F.explode(doomed(texts)).alias("k")).select(*page, F.get("w", "k")["s"].alias(seq))
+    return on_page(boxes, gone, [*page, seq], "left_anti")
+
+
+def date_run_places(texts: list[str], longest: int = LONGEST_RUN) -> list[int]:
+    """Places of texts without blanks that go as runs: the longest first, then the leftmost, until none is left."""
+    left, gone = list(enumerate(texts)), []
+
+    def one_run() -> bool:
+        for n in range(min(longest, len(left)), 1, -1):
+            for at in range(len(left) - n + 1):
+                if _DATED.match("".join(t for _, t in left[at : at + n])):
+                    gone.extend(k for k, _ in left[at : at + n])
+                    del left[at : at + n]
+                    return True
+        return False
+
+    while one_run():
+        pass
+    return gone
 
 
 def confident(boxes: DataFrame, threshold: float, confidence: str = "confidence") -> DataFrame:

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
-from pagewright.operators import overlap, samples
+from pagewright.operators import cleaning, overlap, samples
 from pagewright.plans.layout import boxes, boxes_by_page
 from pagewright.plans.queries import QUERIES
+from pagewright.sources import responses
 
 
 def exchanges(df) -> int:
@@ -86,3 +87,32 @@ def test_samples_equal_rules_one_by_one(spark, seed):
                 out.append(r)
         want += [(str(page), r[2], r[1] != best) for r in out]
     assert got == sorted(want)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_date_runs_of_many_pages_go_together(spark, data):
+    assert "FlatMapGroups" not in plan(QUERIES["date_run_filter"](spark, data)) and "Window" not in plan(QUERIES["date_run_filter"](spark, data))
+    rows = [(p, k, t) for p, ts in ((1, ["a", "1/2/2020", "-3/4/2021", "b"]), (None, ["1/2/", "2020-", "3/4/20", "21", "1/2/2020-3/4/2021"]), (3, ["1/2/2020-3/4/2021", None])) for k, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "page int, seq int, text string").withColumn("box", F.struct("text"))
+    kept = sorted((str(r.page), r.seq) for r in cleaning.without_date_runs(df, ["page"]).collect())
+    # the last of page null joins no run, and on page 3 the range with the missing text behind it is one
+    assert kept == [("1", 0), ("1", 3), ("None", 4)]
+
+
+def test_equal_marks_are_found_by_order(spark, data):
+    assert "array_distinct" not in plan(QUERIES["response_flatten_marks"](spark, data))
+    quad = lambda x: [(float(x), 0.0), (x + 1.0, 0.0), (x + 1.0, 1.0), (float(x), 1.0)]
+    marks = [("filled_checkbox", 0.5, quad(0)), ("filled_checkbox", None, quad(0)), ("other", 0.5, quad(0)), ("unfilled_checkbox", 0.5, quad(1))]
+    df = spark.createDataFrame([(1, marks * 3 + marks[1::-1])], f"page int, response {responses.MARKS}")
+    got = [(r.seq, r.box.text, r.confidence) for r in responses.flatten_marks(df, ["page"]).orderBy("seq").collect()]
+    assert [r[0] for r in got] == [0, 1, 2] and {r[1:] for r in got[:2]} == {("☑", 0.5), ("☑", None)} and got[2][1:] == ("☐", 0.5)
+
+
+@pytest.mark.parametrize("name", ["corrected_tilt", "labelstudio_import_pivot", "rotation_from_deltas", "response_flatten_tree", "response_flatten_marks"])
+def test_neither_words_nor_images_are_moved(spark, data, name):
+    df = QUERIES[name](spark, data)
+    assert "_tilted_page" not in plan(df)
+    assert exchanges(df) == plan(df).count("REPARTITION_BY_NUM")
