@@ -385,6 +385,22 @@ def test_frequent_lines_do_not_hide_passages(spark):
     assert {(k + 3, k + 2, 50, 110) for k in range(0, 80, 4)} <= got
 
 
+def test_edited_passages_are_found_behind_other_holders(spark):
+    """Its lines stand in earlier and later texts each, so the passage's holder is neither the first nor the one before."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    rows, wanted = [], set()
+    for k in range(0, 200, 10):
+        one, two = new(30), new(30)
+        edited = lambda: text(new(40), one[:29], new(2), two[1:], new(40))
+        alone = [text(new(40), one, new(40)), text(new(40), two, new(40))]
+        rows += [(k + i, t) for i, t in enumerate([*alone, edited(), text(new(40), one, new(40)), text(new(40), two, new(40)), edited()])]
+        wanted.add((k + 5, k + 2, 40, 100))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc <> other")
+    assert {(r.doc, r.other, r.start, r.end) for r in found.collect()} == wanted
+
+
 @pytest.mark.parametrize("every", [7, 10])
 def test_passages_with_even_edits_are_found(spark, every):
     rng = random.Random(every)
