@@ -233,3 +233,15 @@ def test_tables_are_released(spark):
     passages.repeated_passages(documents(spark)).collect()
     shared.release(spark)
     assert not [d for d in os.listdir(top) if d.startswith(("near-", "passages-", "shards-", "topk-"))]
+
+
+def test_the_third_stage_cuts_passages_behind_other_holders(spark, data):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = new(30), new(30)
+    parts = [[one], [two], [one[:29], new(2), two[1:]], [one], [two], [one[:29], new(2), two[1:]]]
+    rows = [(k, " ".join(w for p in (new(40), *ps, new(40)) for w in p)) for k, ps in enumerate(parts)]
+    out = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()}
+    words = rows[5][1].split()
+    assert out == dict(rows[:5]) | {5: out[5]} and out[5].split() == words[:40] + words[100:]
