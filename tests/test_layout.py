@@ -268,3 +268,15 @@ def test_a_long_line_takes_time_in_proportion(spark):
     assert rows.where("doc_id = 1").agg(F.max("off"), F.count("*")).first()[:] == (3 * 199_999, 200_000)
     assert time.time() - began < 20
     assert [(r.line_no, r.word_no, r.text, r.off) for r in rows.where("doc_id > 1").orderBy("line_no", "word_no").collect()] == [(0, 0, "a", 0), (0, 2, "b", 2), (1, 1, "c", 0)]
+
+
+def test_exact_shares_are_those_of_the_join(spark, data):
+    from pagewright.plans.layout import PAGE, both_sources, boxes
+    from pagewright.plans.queries import QUERIES
+
+    both = both_sources(boxes(spark, data).where("doc_id < 12"))
+    both = both.withColumn("box", G.with_corners(F.col("box"), {c: F.col("box")[c] + F.col("sample_id") * (1 / 512 if c in ("ax", "bx") else 0) for c in G.CORNERS}))
+    sides = [both.where(F.col("sample_id") == k) for k in (0, 1)]
+    rows = lambda df: {tuple(r[c] for c in (*PAGE, "l_box_id", "r_box_id")): (round(r.l_share, 9), round(r.r_share, 9)) for r in df.collect()}
+    assert rows(overlap.exact_shares(both, PAGE, 0.01)) == rows(overlap.overlap_join(*sides, PAGE, 0.01, exact=True))
+    assert "Join" not in QUERIES["quad_overlap_share"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
