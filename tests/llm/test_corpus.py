@@ -401,6 +401,46 @@ def test_edited_passages_are_found_behind_other_holders(spark):
     assert {(r.doc, r.other, r.start, r.end) for r in found.collect()} == wanted
 
 
+def test_holders_behind_others_with_the_same_sides_are_found(spark):
+    """All pieces of 40 words of the passage stand in earlier and later texts; only one earlier text has it as a whole."""
+    rng = random.Random(13)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, p, q, one, two, three = (new(20) for _ in range(7))
+    edited = [*two[:10], "edited", *two[11:]]
+    parts = [[a, one], [p, one], [one, two], [two, three], [three, q], [three, b]]
+    parts = [*parts, [p, one, two, three, q], *parts, [a, one, edited, three, b]]
+    rows = [(k, " ".join(w for x in (new(40), *ps, new(40)) for w in x)) for k, ps in enumerate(parts)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc <> other")
+    assert {(r.doc, r.other, r.start, r.end) for r in found.collect()} == {(13, 6, 60, 120)}
+
+
+def test_a_frequent_line_makes_no_pair_of_each_two_texts(spark, monkeypatch):
+    rng = random.Random(14)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, pairs, write = new(25), [], passages.Workspace.table
+
+    def counted(self, df, *args, **kwargs):
+        out = write(self, df, *args, **kwargs)
+        if df.columns == ["doc", "other"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages.Workspace, "table", counted)
+    rows = [(k, " ".join(new(60) + line + new(60))) for k in range(100)]
+    assert passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert sum(pairs) <= 300
+
+
+def test_a_passage_goes_on_beyond_a_wide_gap(spark):
+    """The line in front is no passage, but with the long one behind its gap it is; another text is that one's first holder."""
+    rng = random.Random(15)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, long = new(25), new(400)
+    rows = [new(30) + long, new(30) + line + new(30), new(30) + line + new(1) + long, new(40) + line + new(30), new(40) + long, new(50) + line + new(72) + long]
+    found = passages.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")).where("doc <> other")
+    assert (5, 2, 50, 547) in {(r.doc, r.other, r.start, r.end) for r in found.collect()}
+
+
 @pytest.mark.parametrize("every", [7, 10])
 def test_passages_with_even_edits_are_found(spark, every):
     rng = random.Random(every)
