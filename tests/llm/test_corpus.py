@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -589,3 +590,37 @@ def test_pipeline(spark, data):
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == ids
     assert out.select(F.sum("length")).first()[0] == out.dropDuplicates(["doc_id"]).select(F.sum("doc_tokens")).first()[0]
+
+
+def test_seeds_meet_in_arrays_and_rounds_move_their_own_texts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(d), int(s), int(a)) for d in rng.permutation(40) for s in rng.choice(60, 12, replace=False) for a in [rng.integers(0, 1 << 62) if rng.random() < 0.5 else s]]
+    arrays = lambda rs: tuple(np.array([r[k] for r in rs], t).tobytes() for k, t in ((1, "<i8"), (0, "<i8"), (2, "<u8")))
+    got = passages._held(pa.table([[a[k] for a in (arrays(rows[:200]), arrays(rows[200:]))] for k in range(3)], names=["seeds", "docs", "around"]))
+    two = lambda x: [x >> 2 * k & 3 for k in range(32)]  # noqa: E731 - sixteen words of two bits on each side
+    like = lambda a, b: any(sum(p == q for p, q in zip(two(a)[k : k + 16], two(b)[k : k + 16])) >= passages.ALIKE for k in (0, 16))
+    want = []
+    for seed in {s for _, s, _ in rows}:
+        held = sorted((d, a) for d, s, a in rows if s == seed)
+        for k, (doc, around) in list(enumerate(held))[1:]:
+            (one, x), (before, y) = held[0], held[k - 1]
+            first, second = like(around, x), like(around, y)
+            want.append((seed, doc, one, before if second and not first else one, first or second, before > one, k + 1 < len(held)))
+    assert sorted(tuple(r.values()) for r in got.to_pylist()) == sorted(want)
+    assert passages._held(pa.table([pa.array([], pa.binary())] * 3, names=["seeds", "docs", "around"])).num_rows == 0
+
+    plans, write = [], passages.Workspace.table
+
+    def table(self, df, *args):
+        plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(self, df, *args)
+
+    monkeypatch.setattr(passages.Workspace, "table", table)
+    passages.repeated_passages(documents(spark)).collect()
+    assert [p for c, p in plans if c[:3] == ["seed", "doc", "one"] and "Window" not in p]
+
+    seqs = spark.createDataFrame([(k, 0, b"") for k in range(5)], "doc long, h long, words binary")
+    few = passages.texts_of(spark.createDataFrame([(3, 1), (3, 0)], "doc long, other long"), seqs)
+    assert sorted(r.doc for r in few.collect()) == [0, 1, 3]
+    monkeypatch.setattr(passages, "SENT_ROWS", 2)
+    assert passages.texts_of(spark.createDataFrame([(3, 1), (3, 0)], "doc long, other long"), seqs).count() == 5
