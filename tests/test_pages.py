@@ -134,3 +134,14 @@ def test_opaque_upright_boxes_are_drawn_at_one_go(monkeypatch):
 
 def test_drawn_boxes_holds_one_image_at_a_time(spark, data):
     assert "Join" not in QUERIES["drawn_boxes"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tilts_are_scanned_together(spark, data):
+    assert exchanges(QUERIES["tilt_angle"](spark, data)) == 1
+    rng = np.random.default_rng(5)
+    x, y, weight = rng.uniform(-500, 500, 3000), rng.integers(-20, 20, 3000) * 10 + rng.random(3000), rng.integers(1, 256, 3000).astype(float)
+    angles = np.arange(-90, 90, 0.25)
+    one_by_one = np.array([P._edges(x, y, weight, a) for a in angles])
+    together = P._scan(x, y, weight, angles)
+    assert np.argmax(together) == np.argmax(one_by_one) == 360
+    assert np.abs(together / one_by_one - 1).max() < 0.2
