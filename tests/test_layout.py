@@ -318,3 +318,18 @@ def test_trees_are_put_together_from_arrays(spark):
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_crowded_page_come_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 90, 3000) / 128, rng.integers(0, 3, 3000) / 64
+    left = np.stack([x, x + 12 / 128, y, y + 1 / 128])
+    monkeypatch.setattr(overlap, "CANDIDATES", 20_000)
+    monkeypatch.setattr(overlap, "PAIRS", 1000)
+    parts = list(overlap.pieces(overlap.pairs_by_part(left, left[:, ::-1])))
+    assert len(parts) > 500 and max(len(i) for i, _ in parts) <= 1000
+    i, j, _, _ = overlap.pairs_of_page(left, left[:, ::-1])
+    assert (np.concatenate([p[0] for p in parts]) == i).all() and (np.concatenate([p[1] for p in parts]) == j).all()
+    k = 2999 - j
+    met = (np.abs(x[:, None] - x) < 12 / 128) & (y[:, None] == y)
+    assert len(set(zip(i.tolist(), k.tolist()))) == len(i) == met.sum()
