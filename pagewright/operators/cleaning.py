@@ -20,17 +20,24 @@ RANGE_RUN = r"^\d{1,2}/\d{1,2}/\d{4}-\d{1,2}/\d{1,2}/\d{4}$"
 _DATED = re.compile(RANGE_RUN, re.ASCII)
 
 
-def split_date_ranges(boxes: DataFrame, box: str = "box", seq: str = "seq") -> DataFrame:
-    """A box with a date range becomes three: date, hyphen, date. All other columns repeat; part numbers the pieces."""
+def split_date_ranges(boxes: DataFrame, box: str = "box", seq: str = "seq", within: Column | None = None) -> DataFrame:
+    """A box with a date range becomes three: date, hyphen, date. All other columns repeat; part numbers the pieces.
+
+    Rows that are not within stay whole.
+    """
     b = F.col(box)
-    first, rest = G.split(b, FIRST_DATE)
-    hyphen, second = G.split(rest, HYPHEN)
-    dates = F.split(b["text"], "-")
-    three = F.array(G.retext(first, T.stripped(F.get(dates, F.lit(0)))), G.retext(hyphen, F.lit("-")), G.retext(second, T.stripped(F.get(dates, F.lit(1)))))
+
+    def three(b: Column) -> Column:
+        dates = F.split(b["text"], "-")
+        behind = lambda first, rest: F.array(G.retext(first, T.stripped(F.get(dates, F.lit(0)))), G.retext(rest[0], F.lit("-")), G.retext(rest[1], T.stripped(F.get(dates, F.lit(1)))))
+        return G.let(F.array(*G.split(b, FIRST_DATE)), lambda x: G.let(F.array(*G.split(x[1], HYPHEN)), lambda rest: behind(x[0], rest)))
+
     whole = F.coalesce(b["text"].rlike(T.DATE_RANGE), F.lit(False))
+    if within is not None:
+        whole = within & whole
     others = [c for c in boxes.columns if c != box]
     # one pass, so that what makes the boxes runs once
-    return boxes.select(*others, F.posexplode(F.when(whole, three).otherwise(F.array(b))).alias("part", box))
+    return boxes.select(*others, F.posexplode(F.when(whole, G.let(b, three)).otherwise(F.array(b))).alias("part", box))
 
 
 def median_height(boxes: DataFrame, page: list[str], box: str = "box") -> DataFrame:

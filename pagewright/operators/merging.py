@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators.keys import on_page
-from pagewright.operators.ordering import reading_order
+from pagewright.operators.ordering import page_lines, reading_order
 from pagewright.sources.tables import materialised
 
 
@@ -22,6 +23,17 @@ def merge_order(rows: DataFrame, page: list[str], from_b: str = "from_b", a_posi
     return anchored.withColumn(out, F.row_number().over(order) - 1).drop("_anchor")
 
 
+def merged_places(n: int, measures: dict[str, np.ndarray], median: float | None, rtl: bool) -> np.ndarray:
+    """merge_boxes() of one page: the order of its boxes, of which the first n keep theirs. measures: arguments of page_lines()."""
+    _, rank, _ = page_lines(**measures, median=median, rtl=rtl)
+    order = np.empty(len(rank), np.int64)
+    order[rank] = np.arange(len(rank))
+    last = np.maximum.accumulate(np.where(order < n, np.arange(len(order)), -1))  # the place of the last row of a so far
+    anchor = np.empty(len(rank), np.int64)
+    anchor[order] = np.where(last < 0, -1, order[last])
+    return np.lexsort((rank, np.arange(len(rank)) >= n, anchor))
+
+
 def merge_boxes(a: DataFrame, b: DataFrame, page: list[str], width: Column, height: Column, seq: str = "seq") -> DataFrame:
     """a with b put in, in reading order but with the order of a kept; seq is renumbered. Other columns move along."""
     both = a.withColumn("from_b", F.lit(False)).unionByName(b.withColumn("from_b", F.lit(True)), allowMissingColumns=True)

@@ -57,15 +57,29 @@ def page_measures(words: DataFrame, page: list[str]) -> DataFrame:
 def _profile(x_center: np.ndarray, top: np.ndarray, height: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Gain by (tilt, row of pixels), the row of pixel 0, and the best tilt."""
     shift = np.trunc(np.outer(TILT_FRACTIONS, x_center)).astype(np.int64)
-    counts = height + 1
-    box = np.repeat(np.arange(len(height)), counts)
-    step = np.arange(len(box)) - np.repeat(np.cumsum(counts) - counts, counts)
-    half = height[box] / 2
-    gain = (1 - ((step - half) / np.maximum(0.5, half)) ** 2) * weight[box]
-    rows = top[box] + step
-    low = int((rows.min() + shift.min())) - 1
-    size = int(rows.max() + shift.max()) - low + 2
-    gains = np.stack([np.bincount(rows + s[box] - low, gain, minlength=size) for s in shift])
+    low = int(top.min() + shift.min()) - 1
+    size = int((top + height).max() + shift.max()) - low + 2
+    gains = np.zeros((TILTS, size))
+    shift += top - low
+    parabola = lambda step, half: 1 - ((step - half) / np.maximum(0.5, half)) ** 2
+    # the weights of boxes of one height, where these are many, are summed by row first and spread then
+    heights, n = np.unique(height, return_counts=True)
+    single = np.ones(len(height), bool)
+    for h in heights[4 * n > size].tolist():
+        of = height == h
+        single &= ~of
+        rows = shift[:, of] + size * np.arange(TILTS)[:, None]
+        sums = np.bincount(rows.ravel(), np.tile(weight[of], TILTS), minlength=TILTS * size).reshape(TILTS, size)
+        for step in range(h + 1):
+            if gain := float(parabola(step, h / 2)):
+                gains[:, step:] += gain * sums[:, : size - step]
+    if single.any():
+        counts = height[single] + 1
+        box = np.repeat(np.flatnonzero(single), counts)
+        step = np.arange(len(box)) - np.repeat(np.cumsum(counts) - counts, counts)
+        gain = parabola(step, height[box] / 2) * weight[box]
+        for k, s in enumerate(shift):
+            gains[k] += np.bincount(s[box] + step, gain, minlength=size)
     return gains, -low, int(np.argmax((gains**2).sum(1)))
 
 

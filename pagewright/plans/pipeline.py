@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
-from pagewright.operators.cleaning import split_date_ranges, without_columns_of_digits, without_date_runs
+from pagewright.operators.cleaning import split_date_ranges
 from pagewright.operators.merging import merge_boxes
-from pagewright.operators.overlap import without_overlap
 from pagewright.operators.samples import aggregate_samples
+from pagewright.operators.sheets import CODES, FIRST, MARKS, SECOND, merged_boxes
 from pagewright.sources.engines import COMBINED_SIZE, SOURCES
-from pagewright.sources.tables import materialised
 
 #: Fixed value: confidence of merged readings.
 MERGED_CONFIDENCE = 0.9
@@ -75,22 +75,18 @@ def two_sources(
 
     The second source, checkboxes and barcodes are turned by the first's rotation. The first loses columns of digits and
     broken date ranges; the second gives the boxes that nothing of the first overlaps; checkboxes replace what they
-    cover by half. Everything is merged in reading order with the order of the first kept. All steps share the key page,
-    so one exchange by page serves them.
+    cover by half. Everything is merged in reading order with the order of the first kept. A page is one group of one table
+    of all sources, so one exchange by page serves all steps.
     """
-    cut = lambda df: df.select(*page, "seq", "box")
-    first, second = cut(first), cut(second)
-    others = [second, *(cut(x) if x is not None else None for x in (checkboxes, barcodes))]
+    cut = lambda df, source: df.select(*page, F.lit(source).alias("source"), "seq", "box")
+    others = [(x, k) for x, k in ((second, SECOND), (checkboxes, MARKS), (barcodes, CODES)) if x is not None]
     if rotation is not None:
-        others = [turned(x, rotation, page) if x is not None else None for x in others]
-    second, marks, codes = others
-    second = _renumbered(split_date_ranges(second))
-    kept = materialised(without_date_runs(materialised(without_columns_of_digits(first, page, width / height)), page))
-    words = merge_boxes(kept, without_overlap(second.withColumn("box_id", F.col("seq")), kept.withColumn("box_id", F.col("seq")), page, 0.01).drop("box_id"), page, width, height).drop("from_b")
-    if marks is not None:
-        words, marks = materialised(words), materialised(marks)
-        free = without_overlap(words.withColumn("box_id", F.col("seq")), marks.withColumn("box_id", F.col("seq")), page, 0.5).drop("box_id")
-        words = merge_boxes(free, marks, page, width, height).drop("from_b")
-    if codes is not None:
-        words = merge_boxes(words, codes, page, width, height).drop("from_b")
-    return words.withColumn("confidence", F.lit(MERGED_CONFIDENCE))
+        others = [(turned(x, rotation, page), k) for x, k in others]
+    rows = reduce(DataFrame.unionByName, [cut(x, k) for x, k in [(first, FIRST), *others]])
+    return merged_boxes(parted(rows), page, width, height).withColumn("confidence", F.lit(MERGED_CONFIDENCE))
+
+
+def parted(rows: DataFrame) -> DataFrame:
+    """Rows of all sources (source, seq, box) with the date ranges of the second split."""
+    of = F.col("source") == SECOND
+    return split_date_ranges(rows, within=of).withColumn("seq", F.when(of, F.col("seq") * 4 + F.col("part")).otherwise(F.col("seq"))).drop("part")
