@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -624,3 +625,39 @@ def test_seeds_meet_in_arrays_and_rounds_move_their_own_texts(spark, monkeypatch
     assert sorted(r.doc for r in few.collect()) == [0, 1, 3]
     monkeypatch.setattr(passages, "SENT_ROWS", 2)
     assert passages.texts_of(spark.createDataFrame([(3, 1), (3, 0)], "doc long, other long"), seqs).count() == 5
+
+
+def test_seeds_of_many_texts_at_once_and_their_places(spark):
+    rng = np.random.default_rng(11)
+    texts = [rng.integers(0, 40 if n % 3 else 60000, n).astype("<u2") for n in (0, 3, 5, 7, 8, 9, 60, 200, 4, 300)]
+    want = []
+    for t, words in enumerate(texts):
+        x = passages.kmers(words)
+        seeds, first = np.unique(x[low := passages.minimizers(x)], return_index=True)
+        ends = passages.mix(np.arange(2 * passages.ASIDE, dtype=np.uint64) + words.sum(dtype=np.uint64))
+        side = [int(w) & 3 for w in [*ends[: passages.ASIDE], *words, *ends[passages.ASIDE :]]]
+        for seed, at in zip(seeds.tolist(), low[first].tolist()):
+            around = side[at : at + passages.ASIDE] + side[at + passages.ASIDE + passages.K : at + 2 * passages.ASIDE + passages.K]
+            want.append((t, seed, at, sum(w << 2 * k for k, w in enumerate(around))))
+    assert sorted(zip(*(c.tolist() for c in passages.seeds_of(texts)))) == sorted(want)
+
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([t.tobytes() for t in texts])], ["doc", "words"])
+    rows = pa.Table.from_batches(passages._seeds(3)(iter([batch, batch.set_column(0, "doc", pa.array(range(100, 100 + len(texts))))])))
+    held = [r for k in range(3) for r in passages._met(3)(rows.filter(pc.equal(rows["bucket"], k))).to_pylist()]
+    places = {(t, seed % (1 << 64)): at for t, seed, at, _ in want}
+    assert {(r["doc"], r["seed"] % (1 << 64)): r["place"] for r in held if r["doc"] >= 100} == {(t + 100, s): at for (t, s), at in places.items()}
+
+    late = spark.createDataFrame([(1, 7, 10), (2, 7, 96), (3, 8, 10), (4, 7, 60)], "seed long, doc long, place int")
+    found = spark.createDataFrame([(7, 3, 0, 50), (7, 3, 60, 100), (8, 8, 0, 90)], "doc long, other long, start long, end long")
+    opened = passages.open_seeds(late, [found])  # a seed that reaches beyond a passage is open, and passages within one text don't count
+    assert sorted(r.seed for r in opened.collect()) == [2, 3]
+
+
+def test_copies_are_aligned_without_chains(monkeypatch):
+    text = np.random.default_rng(2).integers(0, 30, 400).astype("<u2")
+    want = passages.shared_passages(text, text, 50, 0.8)
+    monkeypatch.setattr(passages, "shared_passages", lambda *a: pytest.fail("a copy was chained"))
+    raw = pa.array([text.tobytes()])
+    batch = pa.record_batch([pa.array([2]), pa.array([9]), pa.array([1]), raw, raw], ["doc", "h", "other", "q", "r"])
+    (out,) = passages._aligned(50, 0.8)(iter([batch]))
+    assert [tuple(r[c] for c in ("start", "end", "other_start", "other_end", "matched")) for r in out.to_pylist()] == want
