@@ -661,3 +661,87 @@ def test_copies_are_aligned_without_chains(monkeypatch):
     batch = pa.record_batch([pa.array([2]), pa.array([9]), pa.array([1]), raw, raw], ["doc", "h", "other", "q", "r"])
     (out,) = passages._aligned(50, 0.8)(iter([batch]))
     assert [tuple(r[c] for c in ("start", "end", "other_start", "other_end", "matched")) for r in out.to_pylist()] == want
+
+
+def test_pairs_are_aligned_many_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    new = lambda n, of=60000: rng.integers(0, of, n).astype("<u2")
+
+    def brute_segments(q, r):
+        x, y = (passages.kmers(t).tolist() for t in (q, r))
+        meet = {}
+        for i, k in enumerate(x):
+            if k in y:
+                places = [j for j, other in enumerate(y) if other == k]
+                meet[i] = places[min(x[:i].count(k), len(places) - 1)]
+        out = []
+        for i, j in meet.items():
+            if meet.get(i - 1) != j - 1:
+                n = next(n for n in range(1, len(x) + 1) if meet.get(i + n) != j + n)
+                out.append([i, j, n - 1 + passages.K])
+        return sorted(out)
+
+    def brute_chains(rows, least):
+        left, out = list(range(len(rows))), []
+        while left:
+            score, before = {}, {}
+            for k in left:
+                q, r, n = rows[k]
+                ends = [(rows[c][0] + rows[c][2], rows[c][1] + rows[c][2], c) for c in left if rows[c][0] + rows[c][2] <= q and rows[c][1] + rows[c][2] <= r]
+                value, c = max(((score[c] + passages.GAP * (qe + re), c) for qe, re, c in ends), default=(float("-inf"), -1))
+                gain = value - passages.GAP * (q + r)
+                score[k], before[k] = (n + gain, c) if gain > 0 else (n, -1)
+            best = max(score, key=lambda k: (score[k], -k))
+            if score[best] < least:
+                break
+            chain = [best]
+            while before[chain[-1]] >= 0:
+                chain.append(before[chain[-1]])
+            left = [k for k in left if k not in chain]
+            out.append(chain[::-1])
+        return out
+
+    base = new(200)
+    others = [new(150, 3), np.concatenate([base[90:150], base[:70], base[150:]]), new(3), new(120, 4), np.concatenate([base[k : k + 25] for k in range(175, -1, -25)])]
+    texts = [new(120, 3), base, base[:2], new(150, 4), base, new(90, 3), new(0)]
+    which = np.array([0, 1, 2, 3, 4, 0, 1])
+    segs = passages.segments(texts, others, which)
+    assert [s.tolist() for s in segs] == [brute_segments(q, others[k]) for q, k in zip(texts, which)]
+    assert all(passages.chains(s, least) == brute_chains(s.tolist(), least) for s in segs for least in (5, 10))
+
+    # scores are found anew only where a chain took something of the next one
+    trees, tree = [], passages.Fenwick
+    monkeypatch.setattr(passages, "Fenwick", lambda n: trees.append(n) or tree(n))
+    assert len(passages.chains(segs[4], 10)) == 8 and len(trees) == 1
+
+    # k-mers and places of many texts are found at once, whatever is asked of each
+    calls, kmers = [], passages.kmers
+    monkeypatch.setattr(passages, "kmers", lambda *a: calls.append(len(a[0])) or kmers(*a))
+    own = [np.concatenate([new(40), base[k : k + 80], new(20)]) for k in range(0, 120, 3)]
+    raw = [t.tobytes() for t in own]
+    batch = pa.record_batch([list(range(1, 41)), [0] * 40, [0] * 40, pa.array(raw), pa.array([base.tobytes()] * 40)], ["doc", "h", "other", "q", "r"])
+    got = [tuple(r[c] for c in ("start", "end", "other_start", "other_end", "matched")) for out in passages._aligned(50, 0.8)(iter([batch])) for r in out.to_pylist()]
+    assert got == [(40, 120, k, k + 80, 80) for k in range(0, 120, 3)]
+    assert len(calls) == 2
+    calls.clear()
+    batch = pa.record_batch([pa.array(range(40)), pa.array(raw)], ["doc", "words"])
+    got = {(r["doc"], r["seed"]) for out in passages._long_seeds(50)(iter([batch])) for r in out.to_pylist()}
+    assert len(calls) == 1
+    long = [kmers(t, 31).view(np.int64) for t in own]
+    assert got == {(d, int(x[k : k + 20][np.argmin(x[k : k + 20].view(np.uint64))])) for d, x in enumerate(long) for k in range(len(x) - 19)}
+    asked = [kmers(t)[[3, 50, 70]].view(np.int64).tolist() + [5] for t in own]
+    calls.clear()
+    batch = batch.append_column("seeds", pa.array(asked)).append_column("kin", pa.array([[d] for d in range(40)]))
+    got = {(r["doc"], r["seed"]): r["sides"] for out in passages._sides(iter([batch])) for r in out.to_pylist()}
+    assert len(calls) == 1
+    for d, t in enumerate(own):
+        x = kmers(t)
+        low = passages.minimizers(x)
+        for seed in asked[d]:
+            at = [k for k in low.tolist() if x[k].view(np.int64) == seed]
+            assert ((d, seed) in got) == bool(at)
+            if at:
+                n = min(at[0], passages.WIDE)
+                assert got[d, seed][:n] == t[at[0] - n : at[0]][::-1].astype(np.uint8).tobytes()
+                after = t[at[0] + passages.K :][: passages.WIDE].astype(np.uint8).tobytes()
+                assert got[d, seed][passages.WIDE :][: len(after)] == after
